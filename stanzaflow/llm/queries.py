@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzaflow.llm import mixing, terms
+from stanzaflow.llm import mixing, neardup, terms
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "corpus_texts"), n=3, threshold=0.5, min_shingles=30)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records in one group of versions."""
+    return neardup.group_pairs(_versions(spark, d))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of versions of every record."""
+    return _versions(spark, d)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms that are too rare or too common."""
     freq = terms.term_frequencies(terms.term_bitmaps(table(spark, d, "ngram_corpus")))
@@ -48,7 +62,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return uses
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_term_counts, p3_cell_counts, p7_found, p7_shares, p7_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_term_counts, p3_cell_counts, p7_found, p7_shares, p7_mix)}
 
 _P3 = """
 WITH docs AS (SELECT doc_id, any_value(tokens) AS tokens FROM ngram_corpus GROUP BY doc_id),
