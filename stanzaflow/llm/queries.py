@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzaflow.llm import mixing, neardup, terms
+from stanzaflow.llm import mixing, neardup, terms, vectors
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -44,6 +44,26 @@ def p3_cell_counts(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(terms.term_bitmaps(table(spark, d, "doc_term"), term="term", cnt="cnt"))
 
 
+#: Table, vector column and least cosine of the two vector collections.
+VECTORS = (("text_features", "features", 0.95), ("topic_features", "doc_topic", 0.995))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of which one is among the other's 5 most similar, above the table's cosine."""
+    parts = []
+    for name, vec, least in VECTORS:
+        near = vectors.nearest(table(spark, d, name), vec=vec, k=5, min_similarity=least)
+        pair = near.select(F.lit(name).alias("feature_set"), F.least("id", "neighbour").alias("doc_id_a"), F.greatest("id", "neighbour").alias("doc_id_b"))
+        parts.append(pair.distinct())
+    return parts[0].union(parts[1])
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar of every query (ids divisible by 100) with relaxed pruning, against all vectors."""
+    near = vectors.nearest(table(spark, d, "text_features"), k=10, relax=0.6, queries="id % 100 = 0")
+    return near.select(F.col("id").alias("doc_id"), "neighbour", F.round("similarity", 9).alias("similarity"), "rank")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources whose capped repeats can't reach their target share."""
     _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
@@ -62,7 +82,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return uses
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_term_counts, p3_cell_counts, p7_found, p7_shares, p7_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_term_counts, p3_cell_counts, p5_found, p5_neighbours, p7_found, p7_shares, p7_mix)}
 
 _P3 = """
 WITH docs AS (SELECT doc_id, any_value(tokens) AS tokens FROM ngram_corpus GROUP BY doc_id),
