@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzaflow.llm import mixing, neardup, terms, vectors
+from stanzaflow.llm import leaks, mixing, neardup, terms, vectors
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -64,6 +64,16 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("id").alias("doc_id"), "neighbour", F.round("similarity", 9).alias("similarity"), "rank")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with eight consecutive words of an evaluation item."""
+    return leaks.passages(table(spark, d, "documents"), table(spark, d, "eval_items")).where("whole_run").select("doc_id", "item_id")
+
+
+def p6_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage of an evaluation item, small edits allowed, and where it stands."""
+    return leaks.passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources whose capped repeats can't reach their target share."""
     _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
@@ -82,7 +92,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return uses
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_term_counts, p3_cell_counts, p5_found, p5_neighbours, p7_found, p7_shares, p7_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_term_counts, p3_cell_counts, p5_found, p5_neighbours, p6_found, p6_passages, p7_found, p7_shares, p7_mix)}
 
 _P3 = """
 WITH docs AS (SELECT doc_id, any_value(tokens) AS tokens FROM ngram_corpus GROUP BY doc_id),
