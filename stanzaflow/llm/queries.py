@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzaflow.llm import leaks, mixing, neardup, terms, vectors
+from stanzaflow.llm import language, leaks, mixing, neardup, quality, terms, vectors
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,6 +28,19 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return _versions(spark, d)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of records that are mixed or whose label is missing or wrong."""
+    corpus = table(spark, d, "corpus_texts")
+    segs = language.mislabelled(language.segments(corpus))
+    odd = quality.unnatural(quality.record_statistics(corpus)).select("doc_id")
+    return segs.join(odd, "doc_id", "left_anti").select("doc_id", "first_line", "lang").distinct()
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every record with its language and confidence."""
+    return language.segments(table(spark, d, "corpus_texts"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms that are too rare or too common."""
     freq = terms.term_frequencies(terms.term_bitmaps(table(spark, d, "ngram_corpus")))
@@ -44,6 +57,22 @@ def p3_cell_counts(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(terms.term_bitmaps(table(spark, d, "doc_term"), term="term", cnt="cnt"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that are mostly list entries, table rows or junk."""
+    return quality.unnatural(quality.record_statistics(table(spark, d, "corpus_texts"))).select("doc_id")
+
+
+def p4_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Text statistics of every record, and whether it is natural text."""
+    stats = quality.record_statistics(table(spark, d, "corpus_texts"))
+    return stats.withColumn("natural", F.col("odd_share") <= 0.5)
+
+
+def p4_token_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the token lists: count, mean length, distinct share, share of stopwords."""
+    return quality.token_statistics(table(spark, d, "ngram_corpus"), table(spark, d, "stopwords"))
+
+
 #: Table, vector column and least cosine of the two vector collections.
 VECTORS = (("text_features", "features", 0.95), ("topic_features", "doc_topic", 0.995))
 
@@ -92,7 +121,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return uses
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_term_counts, p3_cell_counts, p5_found, p5_neighbours, p6_found, p6_passages, p7_found, p7_shares, p7_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_segments, p3_found, p3_term_counts, p3_cell_counts, p4_found, p4_stats, p4_token_stats, p5_found, p5_neighbours, p6_found, p6_passages, p7_found, p7_shares, p7_mix)}
 
 _P3 = """
 WITH docs AS (SELECT doc_id, any_value(tokens) AS tokens FROM ngram_corpus GROUP BY doc_id),
@@ -112,6 +141,12 @@ SQL: dict[str, str] = {
         SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(cnt) AS BIGINT) AS cf,
           CASE WHEN count(*) < 5 THEN 'rare' WHEN count(*) > CAST(0.3 AS DOUBLE) * (SELECT n FROM n) THEN 'common' END AS mark
         FROM c GROUP BY term""",
+    "p4_token_stats": """
+        WITH d AS (SELECT doc_id, any_value(tokens) AS t FROM ngram_corpus WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        u AS (SELECT doc_id, unnest(t) AS w FROM d),
+        a AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS l, count(DISTINCT w) AS k, count(*) FILTER (w IN (SELECT term FROM stopwords)) AS s FROM u GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, coalesce(round(l / n, 6), 0) AS mean_length, coalesce(round(k / n, 6), 0) AS distinct_share, coalesce(round(s / n, 6), 0) AS stop_share
+        FROM d LEFT JOIN a USING (doc_id)""",
     "p7_found": rf"""
         WITH d AS (SELECT replace(replace(lower(trim(source)), '-', '_'), ' ', '_') AS source, {_P7_TOKENS} AS n FROM documents),
         s AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(d.n), 0) AS n FROM mix_targets t LEFT JOIN d ON d.source = t.source GROUP BY ALL)
