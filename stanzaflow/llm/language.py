@@ -34,7 +34,11 @@ SCRIPTS = {"el": "Ͱ-Ͽ", "ru": "Ѐ-ӿ", "he": "֐-׿", "ar": "؀-ۿ", "hi": "
 LANGS = LATIN + tuple(SCRIPTS)
 #: Other spellings of the labels.
 LABELS = {"eng": "en", "english": "en", "spa": "es", "spanish": "es", "fra": "fr", "fre": "fr", "french": "fr", "deu": "de", "ger": "de", "german": "de", "por": "pt", "portuguese": "pt", "ita": "it", "italian": "it"}
-_WORD = re.compile(r"[^\W\d_]+(?:['’](?=[^\W\d_]))?")
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’](?=[^\W\d_]))?(?![\d_])")
+#: Addresses, markup and damaged encoding inside a line.
+_REMAINS = re.compile(r"\w+://\S+|</?\w[^<>]*>|&#?\w+;|\{[^{}]*\}|Ã.|â€.?|ï¿½|Â(?=\s|$)|\ufffd")
+#: A line is in a language if known words make up this share of its visible characters.
+KNOWN_SHARE = 0.2
 _NO_LANGUAGE = re.compile(rf"^(?:{SYLLABLE}|{CHORD}|x)$", re.I)
 _HEADER, _CHORDS = re.compile(HEADER), re.compile(CHORDS_ONLY)
 _SCRIPT = [(LANGS.index(k), re.compile(f"[{v}]")) for k, v in SCRIPTS.items()]
@@ -52,7 +56,7 @@ def line_words(line: str) -> list[str]:
     """Words of a line that speak for a language; none for headers, chords, syllables and signs."""
     if _HEADER.match(line) or _CHORDS.match(line):
         return []
-    words = [w.replace("’", "'").lower() for w in _WORD.findall(line)]
+    words = [w.replace("’", "'").lower() for w in _WORD.findall(_REMAINS.sub(" ", line))]
     bare = [w.rstrip("'") for w in words]
     if all(_NO_LANGUAGE.match(w) for w in bare):
         return []
@@ -113,6 +117,11 @@ class WordScores:
         # a language that was hardly seen must not look likely for rare words
         return np.maximum(p - p.max(axis=1, keepdims=True), -clip)
 
+    def speaks(self, line: str, words: list[str]) -> bool:
+        """Whether enough of the line is known words (a script of its own counts as known)."""
+        seen = sum(len(w) for w in words if w in self.words or not w.isascii() and any(p.search(w) for _, p in _SCRIPT))
+        return seen >= KNOWN_SHARE * (len(line) - line.count(" "))
+
     def score(self, word: str) -> np.ndarray:
         out = np.full(len(LANGS), -CLIP, np.float32)
         if not word.isascii():
@@ -189,7 +198,7 @@ def _labeller(model: WordScores):
             for d, text in zip(ids, texts):
                 nos, words, starts = [], [], []
                 for no, line in enumerate((text or "").split("\n"), 1):
-                    if w := line_words(line):
+                    if (w := line_words(line)) and model.speaks(line, w):
                         nos.append(no), starts.append(len(words)), words.extend(w)
                 if words:
                     docs.append((d, nos, starts, words))
