@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stanzaflow.llm import language, leaks, mixing, neardup, quality, terms, vectors
+from stanzaflow.llm import abuse, language, leaks, mixing, neardup, quality, terms, vectors
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -121,7 +121,27 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return uses
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_segments, p3_found, p3_term_counts, p3_cell_counts, p4_found, p4_stats, p4_token_stats, p5_found, p5_neighbours, p6_found, p6_passages, p7_found, p7_shares, p7_mix)}
+def _severities(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.severities(docs, abuse.fit(docs, table(spark, d, "doc_ratings")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose expected severity reaches the cut."""
+    return _severities(spark, d).where(F.col("severity") >= abuse.CUT).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The severity of every document."""
+    return _severities(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of abusive documents per source."""
+    return abuse.source_rates(_severities(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_segments, p3_found, p3_term_counts, p3_cell_counts, p4_found, p4_stats, p4_token_stats, p5_found, p5_neighbours, p6_found, p6_passages, p7_found, p7_shares, p7_mix, p8_found, p8_scores, p8_rates)}
 
 _P3 = """
 WITH docs AS (SELECT doc_id, any_value(tokens) AS tokens FROM ngram_corpus GROUP BY doc_id),
