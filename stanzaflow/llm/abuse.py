@@ -34,7 +34,7 @@ ROUNDS = 6
 STEPS = 150
 RIDGE = 2e-4
 WINDOW, STRIDE = 24, 12
-CUT = 1.5
+CUT = 1.0
 
 # Letters of other scripts and signs that stand in for Latin letters.
 _LOOKALIKE = str.maketrans("авеёкмнорстухіјѕԁɡοαεικνρτυχω", "abeekmhopctyxijsdgoaeiknptuxw")
