@@ -23,18 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ITEM_CHARS = 1_000_000
-SLICE_CHARS = 500_000
+SLICE_CHARS = 1_000_000
 BIN = 4
 EDIT_COST = 4
 OUT = "doc_id bigint, item_id bigint, score int, doc_start bigint, doc_end bigint, item_start int, item_end int, whole_run boolean"
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
+_FURTHER = re.compile("[֐-᪯]")
 
 
 def plain_words(text: str | None) -> list[str]:
     """Lower-cased words without accents."""
     t = (text or "").lower()
     if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+        if _FURTHER.search(t):  # scripts with marks of their own
+            t = "".join(c for c in t if not unicodedata.combining(c))
     return _WORD.findall(t)
 
 
@@ -99,22 +103,45 @@ class ItemIndex:
         return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
 
-def band_align(pairs: list[tuple[np.ndarray, np.ndarray, int]], width: int) -> np.ndarray:
-    """Best local alignment of each (item part, text, first diagonal) over ``width`` diagonals.
+def band_scores(pairs: list[tuple[np.ndarray, np.ndarray, int]], width: int) -> np.ndarray:
+    """The score alone of ``band_align``, to sort out most regions."""
+    item, text = _stacked(pairs, width)
+    longest, n = item.shape
+    score, best = np.zeros((width, n), np.int32), np.zeros(n, np.int32)
+    for i in range(longest):
+        prev, score = score, np.empty_like(score)
+        step = np.where(item[i] == text[i : i + width], 1, -EDIT_COST) + prev
+        np.maximum(step, 0, out=step)
+        np.maximum(step[:-1], prev[1:] - EDIT_COST, out=step[:-1])
+        score[0] = step[0]
+        for d in range(1, width):
+            np.maximum(step[d], score[d - 1] - EDIT_COST, out=score[d])
+        np.maximum(best, score.max(axis=0), out=best)
+    return best
 
-    Rows: score, item start, item end, text start, text end. A match counts 1, an edit ``-EDIT_COST``.
-    """
+
+def _stacked(pairs, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Item parts and texts as columns, the text from the first diagonal on."""
     n = len(pairs)
     longest = max((len(a) for a, _, _ in pairs), default=0)
-    # on row i, diagonal d: text position first + i + d
-    item = np.zeros((n, longest), np.uint32)
-    text = np.full((n, longest + width), 0xFFFFFFFF, np.uint32)
+    item = np.full((longest, n), 0xFFFFFFFE, np.uint32)
+    text = np.full((longest + width, n), 0xFFFFFFFF, np.uint32)
     for r, (a, t, first) in enumerate(pairs):
-        item[r, : len(a)] = a
-        item[r, len(a) :] = 0xFFFFFFFE
+        item[: len(a), r] = a
         lo, hi = max(0, first), min(len(t), first + longest + width)
         if hi > lo:
-            text[r, lo - first : hi - first] = t[lo:hi]
+            text[lo - first : hi - first, r] = t[lo:hi]
+    return item, text
+
+
+def band_align(pairs: list[tuple[np.ndarray, np.ndarray, int]], width: int) -> np.ndarray:
+    """Best local alignment of each (item part, text, first diagonal) over ``width`` diagonals.
+
+    Rows: score, item start, item end, text start, text end. A match counts 1, an edit ``-EDIT_COST``.
+    """
+    # on row i, diagonal d: text position first + i + d
+    item, text = (x.T for x in _stacked(pairs, width))
+    n, longest = item.shape
     score = np.zeros((n, width), np.int32)
     start = np.zeros((n, width, 2), np.int32)
     best = np.zeros((n, 5), np.int64)
@@ -175,16 +202,17 @@ def _searcher(index: ItemIndex):
             return []
         found: dict[tuple[int, int], tuple] = {}
         order = np.argsort(ip[at + n - 1] - ip[at], kind="stable")  # alike long regions together
-        for b in range(0, len(order), 256):
-            part = order[b : b + 256]
+        for b in range(0, len(order), 1024):
+            part = order[b : b + 1024]
             pairs, place = [], []
             for r in part:
                 i0, i1 = max(0, int(ip[at[r]]) - e), int(ip[at[r] + n[r] - 1]) + q + e
                 d, k = int(doc[at[r]]), int(item[at[r]])
                 pairs.append((index.texts[k][i0:i1], joined[d], i0 + int(low[at[r]]) * BIN - e))
                 place.append((d, k, i0, pairs[-1][2]))
-            for (d, k, i0, first), (s, a, z, ta, tz) in zip(place, band_align(pairs, width)):
-                if s >= index.least[k] and s > found.get((d, k), (0,))[0]:
+            good = np.flatnonzero(band_scores(pairs, width) >= [index.least[k] for _, k, _, _ in place])
+            for (d, k, i0, first), (s, a, z, ta, tz) in zip([place[g] for g in good], band_align([pairs[g] for g in good], width)):
+                if s > found.get((d, k), (0,))[0]:
                     found[d, k] = (int(s), first + int(ta), first + int(tz), i0 + int(a), i0 + int(z))
         out = []
         for (d, k), v in found.items():
@@ -210,7 +238,7 @@ def _searcher(index: ItemIndex):
     return search
 
 
-def passages(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", words: int = 8, edits: int = 2, q: int = 12, item_chars: int = ITEM_CHARS) -> DataFrame:
+def passages(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", words: int = 8, edits: int = 2, q: int = 9, item_chars: int = ITEM_CHARS) -> DataFrame:
     """One row per document and item of which a passage of ``words`` words stands in it with at most ``edits`` edits.
 
     ``score`` is the alignment's (matches less ``EDIT_COST`` per edit); offsets count characters of
