@@ -47,11 +47,15 @@ _PIECE = re.compile(r"\n|(?<=[.!?;…])[\"'»”)]*\s+")
 _MIXED = re.compile(r"(?=.*[^\W\d_])(?=.*[\d@$€])")
 
 
+_MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
+_RUN = re.compile(r"(.)\1+")
+
+
 def plain(text: str) -> str:
     """Lower-cased text without accents, hidden signs, look-alike letters and split-up words."""
-    t = _HIDDEN.sub("", text).lower().translate(_LOOKALIKE)
+    t = text.lower()
     if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).translate(_LOOKALIKE)
+        t = _MARKS.sub("", unicodedata.normalize("NFKD", _HIDDEN.sub("", t).translate(_LOOKALIKE))).translate(_LOOKALIKE)
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), t)
     return _INNER.sub("", t)
 
@@ -59,15 +63,25 @@ def plain(text: str) -> str:
 def _squeeze(w: str) -> str:
     if _MIXED.match(w):
         w = w.translate(_STAND_IN)
-    w = w.replace("!", "i").replace("*", "")
-    return re.sub(r"(.)\1+", r"\1", w)
+    return _RUN.sub(r"\1", w.replace("!", "i").replace("*", ""))
 
 
-def pieces(text: str | None) -> list[list[str]]:
-    """Words of every sentence or line; pieces of more than ``WINDOW`` words as overlapping windows."""
+def pieces(text: str | None, known: dict[str, str] | None = None) -> list[list[str]]:
+    """Words of every sentence or line; pieces of more than ``WINDOW`` words as overlapping windows.
+
+    ``known`` keeps words that were squeezed before, up to a bound.
+    """
+    known = {} if known is None else known
+    if len(known) > 200_000:
+        known.clear()
     out = []
-    for p in _PIECE.split(text or ""):
-        w = [_squeeze(x) for x in _WORD.findall(plain(p))]
+    for p in _PIECE.split(plain(text or "")):
+        w = []
+        for x in _WORD.findall(p):
+            s = known.get(x)
+            if s is None:
+                s = known[x] = _squeeze(x)
+            w.append(s)
         if len(w) <= WINDOW:
             if w:
                 out.append(w)
@@ -118,7 +132,8 @@ class Hasher:
         feats.append(sk[has]), segs.append(seg[has])
         f, s = np.concatenate(feats), np.concatenate(segs)
         f = ((f ^ (f >> np.uint64(29))) * b) >> np.uint64(64 - self.bits)
-        key = np.unique(s.astype(np.uint64) << np.uint64(self.bits) | f)
+        key = np.sort(s.astype(np.uint64) << np.uint64(self.bits) | f)
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
         return (key & np.uint64((1 << self.bits) - 1)).astype(np.int64), (key >> np.uint64(self.bits)).astype(np.int64)
 
 
@@ -188,11 +203,11 @@ def train(texts: list[str], grades: np.ndarray, share: float = 1.0) -> Ordinal:
     if not len(grades) or not grades.any() or grades.all():
         model.theta = np.array([9.0, 10.0, 11.0])
         return model
-    owners, fs, sizes = [], [], []
+    owners, fs, sizes, known = [], [], [], {}
     for lo in range(0, len(texts), 500):
         parts = []
         for d in range(lo, min(lo + 500, len(texts))):
-            mine = pieces(texts[d])
+            mine = pieces(texts[d], known)
             parts += mine
             owners += [d] * len(mine)
         if parts:
@@ -266,7 +281,7 @@ def severities(docs: DataFrame, model: Ordinal, doc: str = "doc_id", text: str =
     values = w[kept]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hasher = Ordinal(), Hasher()
+        m, hasher, known = Ordinal(), Hasher(), {}
         m.w[kept], m.theta = values, theta
         for b in batches:
             texts = b.column(2)
@@ -274,7 +289,7 @@ def severities(docs: DataFrame, model: Ordinal, doc: str = "doc_id", text: str =
             for lo in range(0, b.num_rows, 500):
                 parts, owner = [], []
                 for i, t in enumerate(texts.slice(lo, 500).to_pylist()):
-                    mine = pieces(t)
+                    mine = pieces(t, known)
                     parts += mine
                     owner += [lo + i] * len(mine)
                 if parts:
