@@ -24,7 +24,7 @@ from stanzaflow.shared import stage
 
 SAMPLE = 4096
 SHARD_ROWS = 4096
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 PACK_ROWS = 1024
 LEAF = 64
 EPS = 1e-7
@@ -212,7 +212,7 @@ def nearest(df: DataFrame, key: str = "doc_id", vec: str = "features", k: int =
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "sub": [pdf["sub"].iloc[0]], "block": [blob]})
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        blob = pickle.dumps((np.stack(pdf["u"].to_numpy()), pdf["id"].to_numpy(np.int64), pdf["radius"].to_numpy(float)))
+        blob = pickle.dumps((np.stack(pdf["u"].to_numpy()).astype(np.float32), pdf["id"].to_numpy(np.int64), pdf["radius"].to_numpy(float)))
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "subs": [pdf["subs"].iloc[0]], "pack": [blob]})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +220,7 @@ def nearest(df: DataFrame, key: str = "doc_id", vec: str = "features", k: int =
             for block, pack in zip(b.column(0), b.column(1)):
                 points, ids, nodes = pickle.loads(block.as_py())
                 q, qid, radius = pickle.loads(pack.as_py())
+                q = q.astype(float)
                 best, who = search_tree(points, ids, nodes, q, qid, radius, k, relax)
                 r, c = np.nonzero(np.isfinite(best))
                 yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(who[r, c]), pa.array(best[r, c])], names=["id", "nb", "sim"])
