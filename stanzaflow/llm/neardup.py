@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from stanzaflow.functions.text import letter_words
 from stanzaflow.shared import discard, stage
@@ -27,6 +28,8 @@ from stanzaflow.shared import discard, stage
 MOST_HASHES = 320
 MISS = 0.006
 BLOCK = 64
+#: So many large buckets (24 bytes each) are sent to every executor at most; more are joined by shuffle.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def banding(threshold: float, most: int = MOST_HASHES, miss: float = MISS) -> tuple[int, int]:
@@ -83,7 +86,7 @@ def _signer(rows: int, bands: int, seed: int):
     return sign
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _agreement(a, b):
     """Similarity that two signatures of 8-bit lanes let expect."""
     import pandas as pd
@@ -185,12 +188,18 @@ def groups(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = 5, t
         return out
 
     spread = sigs.select("fp", F.explode("bands").alias("bk"))
-    stars = spread.groupBy("bk").agg(F.min("fp").alias("a"), F.count("*").alias("cn")).where("cn > 1").select("bk", "a")
-    first = verified(spread.withColumnRenamed("fp", "b").join(stars, "bk").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    buckets = stage(spread.groupBy("bk").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("cn")).where("a <> b"), "buckets")
+    # buckets of two are a pair already; only the members of larger ones are looked up again
+    large = buckets.where("cn > 2").select("bk", "a", "cn")
+    larger = large.count()
+    large = F.broadcast(large) if larger <= BROADCAST_BUCKETS else large
+    stars = spread.withColumnRenamed("fp", "b").join(large, "bk").where("a <> b").select("a", "b")
+    first = verified(buckets.select("a", "b").union(stars).distinct())
     comp = stage(components(first), "comp")
 
-    known = sigs.select("fp", "bands").join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode("bands").alias("bk"))
-    split = known.groupBy("bk").agg(F.count("*").alias("cn"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("cn > 2 and r0 <> r1").select("bk", "cn")
+    # members of large buckets with their components; only buckets that hold several go on
+    known = stage(spread.join(large, "bk").select("bk", "fp"), "members").join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").select("bk", "fp", F.coalesce("root", "fp").alias("root"))
+    split = known.groupBy("bk").agg(F.count("*").alias("cn"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bk", "cn")
     rest = block_pairs(known.join(split, "bk"), "bk", "fp", "cn", carry=("root",)).where("root_a <> root_b").select("a", "b").distinct()
     second = verified(rest.join(first, ["a", "b"], "left_anti"))
     found = comp
