@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stanzaflow.llm.quality import CHORD, CHORDS_ONLY, FUNCTION_WORDS, HEADER, SYLLABLE
+from stanzaflow.llm.quality import CHORD, FUNCTION_WORDS, HEADER, SYLLABLE
 
 SAMPLE_DOCS = 8000
 MOST_WORDS = 60_000
@@ -34,13 +34,13 @@ SCRIPTS = {"el": "Ͱ-Ͽ", "ru": "Ѐ-ӿ", "he": "֐-׿", "ar": "؀-ۿ", "hi": "
 LANGS = LATIN + tuple(SCRIPTS)
 #: Other spellings of the labels.
 LABELS = {"eng": "en", "english": "en", "spa": "es", "spanish": "es", "fra": "fr", "fre": "fr", "french": "fr", "deu": "de", "ger": "de", "german": "de", "por": "pt", "portuguese": "pt", "ita": "it", "italian": "it"}
-_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’](?=[^\W\d_]))?(?![\d_])")
+_WORD = re.compile(r"(?<!\w)[^\W\d_]++(?:['’](?=[^\W\d_]))?(?![\d_])")
 #: Addresses, markup and damaged encoding inside a line.
-_REMAINS = re.compile(r"\w+://\S+|</?\w[^<>]*>|&#?\w+;|\{[^{}]*\}|Ã.|â€.?|ï¿½|Â(?=\s|$)|\ufffd")
+_REMAINS = re.compile(r"\b\w{1,20}://\S+|</?\w[^<>]*>|&#?\w+;|\{[^{}]*\}|Ã.|â€.?|ï¿½|Â(?=\s|$)|\ufffd")
 #: A line is in a language if known words make up this share of its visible characters.
 KNOWN_SHARE = 0.2
 _NO_LANGUAGE = re.compile(rf"^(?:{SYLLABLE}|{CHORD}|x)$", re.I)
-_HEADER, _CHORDS = re.compile(HEADER), re.compile(CHORDS_ONLY)
+_HEADER, _CHORD = re.compile(HEADER), re.compile(CHORD)
 _SCRIPT = [(LANGS.index(k), re.compile(f"[{v}]")) for k, v in SCRIPTS.items()]
 
 
@@ -54,7 +54,8 @@ def label_language(label: Column) -> Column:
 
 def line_words(line: str) -> list[str]:
     """Words of a line that speak for a language; none for headers, chords, syllables and signs."""
-    if _HEADER.match(line) or _CHORDS.match(line):
+    parts = line.split()
+    if _HEADER.match(line) or (len(parts) > 1 and all(_CHORD.fullmatch(p) for p in parts)):
         return []
     words = [w.replace("’", "'").lower() for w in _WORD.findall(_REMAINS.sub(" ", line))]
     bare = [w.rstrip("'") for w in words]

@@ -24,12 +24,9 @@ FUNCTION_WORDS = {
     "pt": "o os as um uma do da em eu não com sem para meu minha seu mais quem quando já nunca também nada há você ao se".split(),
     "it": "il lo gli uno di che e io non senza per mio mia ti più chi quando già mai adesso anche niente della tutto dove c".split(),
 }
-#: Sung syllables.
-SYLLABLE = r"(?:(?:[snt]?h?r?[aou]+h*|l[aiou]+|n[aou]+|d[aeiou]+|b[aou]+p?|y[ae]+h?|yeah|h[ea]+y+|[ow]+h+[oa]*h*|w[oa]+p*h*|mm+|hm+|sh[aou]+p?|tra|dum|oh+|ey+|ay+|hey|e?h+a+)\b)"
-#: Chord names, and signs of a chord sheet.
+#: A sung syllable, and a chord name. Patterns are matched against single words: a repeated group over a whole line could take time out of all proportion.
+SYLLABLE = r"(?:[snt]?h?r?[aou]+h*|l[aiou]+|n[aou]+|d[aeiou]+|b[aou]+p?|y[ae]+h?|yeah|h[ea]+y+|[ow]+h+[oa]*h*|w[oa]+p*h*|mm+|hm+|sh[aou]+p?|tra|dum|oh+|ey+|ay+|e?h+a+)"
 CHORD = r"(?:[A-H][#b]?(?:m|maj|min|dim|aug|sus|add)?[0-9]{0,2}(?:/[A-G][#b]?)?)"
-SYLLABLES_ONLY = rf"(?i)^[^\p{{L}}]*(?:{SYLLABLE}[^\p{{L}}]*)+$"
-CHORDS_ONLY = rf"^\s*{CHORD}(?:\s+{CHORD})+\s*$"
 HEADER = r"^\s*\[[^\[\]]*\]\s*$"
 
 #: Name and meaning of the statistics of a line that rules may test.
@@ -41,6 +38,8 @@ LINE_STATS = {
 }
 RULE_NAMES = tuple(LINE_STATS)
 TRAINING_DOCS = 3000
+#: Induction ends after so many rules in a row that were not worth keeping.
+MOST_MISSES = 25
 
 
 def line_stats(line: str = "line") -> list[Column]:
@@ -65,11 +64,11 @@ def line_stats(line: str = "line") -> list[Column]:
         F.least(F.lit(1.0), F.size(F.array_distinct(w)) / F.least(some, F.lit(10))).alias("varied"),
         F.least(F.size(F.array_distinct(F.split(F.array_join(w, ""), ""))), F.lit(4)).cast("double").alias("signs"),
         F.greatest(F.array_max(F.transform(F.split(t, r"\s+"), lambda v: F.length(v))), F.lit(18)).cast("double").alias("longest"),
-        flag(r"</?\p{L}+[^<>]*>|&#?\w+;|\{\S+:\S+[;}]|Ã.|â€|ï¿½|\x{FFFD}|Â ").alias("broken"),
-        flag(r"^(?:[\p{L}\p{N}.'’]+ ?){1,3}(?::|->|=>|=|–|—|→| - )\s").alias("keyed"),
+        flag(r"</?\p{L}+[^<>]*>|&#?\w+;|\{\S{1,40}:\S{1,60}[;}]|Ã.|â€|ï¿½|\x{FFFD}|Â ").alias("broken"),
+        flag(r"^[\p{L}\p{N}.'’]++(?: [\p{L}\p{N}.'’]++){0,2} ?(?::|->|=>|=|–|—|→| - )\s").alias("keyed"),
         (num(",") / some).alias("commas"),
         flag(r"\b\d{1,2}:\d{2}\b").alias("clock"),
-        flag(r"\w+://|www\.").alias("links"),
+        flag(r"\b\w{1,20}://|www\.").alias("links"),
     ]
 
 
@@ -145,11 +144,11 @@ class _Maker:
             lambda: f'<{r.choice(("td", "div", "li"))} class="{self.noun()}">&nbsp;&#{r.randint(100, 9999)};</{r.choice(("td", "div", "li"))}>', lambda: f'{{{self.noun()}:{r.randint(1, 999)};{self.noun()}:"{r.getrandbits(40):x}"}}', lambda: " ".join(f"http://{self.noun()}.invalid/{self.noun()}" for _ in range(r.randint(1, 3))),
         ]
         kinds = [
-            *([lambda k: mark + item()] * 3), lambda k: f"{k + 1}. {item()}", lambda k: f"{k + 1}) {self.name(2, art)}", lambda k: f"{chr(97 + k % 26)}) {self.name(2, art)}", lambda k: item(), lambda k: self.name(2, art) + f" ({time()})",
+            *([lambda k: mark + item()] * 4), lambda k: f"{k + 1}. {item()}", lambda k: f"{k + 1}) {self.name(2, art)}", lambda k: f"{chr(97 + k % 26)}) {self.name(2, art)}", lambda k: item(), lambda k: self.name(2, art) + f" ({time()})",
             lambda k: f"{r.randint(1, 28):02d}.{r.randint(1, 12):02d}. {self.name(1)}, {self.name(2, art)}", lambda k: f"{r.choice(role)}: {self.name(2, art)}", lambda k: f"{self.noun()} {r.choice(('->', '=', '–'))} {art}{self.noun()}",
             lambda k: sep.join((str(k + 1), self.name(r.choice((2, 3)), art), time(), str(r.randint(60, 190)), chord())), lambda k: f"| {k + 1} | {self.name(2, art)} | {time()} | {r.randint(60, 190)} |", lambda k: f"{self.name(2, art)}{sep if sep != ',' else ' || '}{time()}{sep}{self.name(2, art)}",
             lambda k: " ".join(f"{r.randint(1, 99999):7d}" for _ in range(6)), lambda k: f"{k + 1:<4}{self.name():<28}{time()}{r.randint(50, 190):6d}", lambda k: "  ".join(r.choice((chord(), chord(), "%", "x")) for _ in range(4)) + f"  | {art}{self.noun()}",
-            lambda k: r.choice("eBGDAE") + "|" + chars("-----0123457h", 25, 45) + "|", lambda k: ", ".join(art + self.noun() for _ in range(r.randint(4, 9))), lambda k: " ".join([phrase] * max(3, r.randint(5, 14) // len(phrase.split()))),
+            lambda k: r.choice("eBGDAE") + "|" + chars("-----0123457h", 25, 45) + "|", *([lambda k: ", ".join(art + self.noun() for _ in range(r.randint(4, 12)))] * 4), lambda k: " ".join([phrase] * max(3, r.randint(5, 14) // len(phrase.split()))),
             lambda k: " ".join([letter * r.randint(3, 12)] * r.randint(2, 6)), *([lambda k: r.choice(junk)()] * 5),
         ]
         make = r.choice(kinds)
@@ -199,6 +198,8 @@ def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray]) -> Rule:
             break
         base, best = np.log2(p / (p + n)), (0.0, None)
         for f, cs in enumerate(cuts):
+            if not len(cs):
+                continue
             v, lab = x[ok, f], y[ok]
             o = np.argsort(v, kind="stable")
             vs, pos = v[o], np.cumsum(np.append(0, lab[o]))
@@ -216,18 +217,18 @@ def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray]) -> Rule:
     return rule
 
 
-def _prune(rule: Rule, x: np.ndarray, y: np.ndarray) -> tuple[Rule, float]:
-    """Cut final conditions to the best (p - n) / (p + n) on the pruning set."""
-    best = (-2.0, rule)
-    for k in range(len(rule), 0, -1):
+def _prune(rule: Rule, x: np.ndarray, y: np.ndarray, slack: float = 0.02) -> tuple[Rule, float]:
+    """Cut final conditions: the shortest rule whose (p - n) / (p + n) on the pruning set is within ``slack`` of the best."""
+    worths = []
+    for k in range(1, len(rule) + 1):
         c = _covers(rule[:k], x)
         p, n = y[c].sum(), (1 - y[c]).sum()
-        if p + n and (v := (p - n) / (p + n)) >= best[0]:
-            best = (v, rule[:k])
-    return best[1], best[0]
+        worths.append((p - n) / (p + n) if p + n else -1.0)
+    k = next(i for i, v in enumerate(worths) if v >= max(worths) - slack)
+    return rule[: k + 1], worths[k]
 
 
-def irep(x: np.ndarray, y: np.ndarray, group: np.ndarray, seed: int = 1, most: int = 40, worth: float = 0.95) -> list[Rule]:
+def irep(x: np.ndarray, y: np.ndarray, group: np.ndarray, seed: int = 1, most: int = 80, worth: float = 0.95) -> list[Rule]:
     """Rules for label 1, in order. ``group`` (the document) is never split between growing and pruning.
 
     Ends when a pruned rule's worth on the pruning set is below ``worth`` or it covers under 5 lines there.
@@ -238,16 +239,19 @@ def irep(x: np.ndarray, y: np.ndarray, group: np.ndarray, seed: int = 1, most: i
         v = np.unique(x[:, f])
         mids = (v[1:] + v[:-1]) / 2
         cuts.append(mids if len(mids) <= 40 else np.unique(np.quantile(mids, np.linspace(0, 1, 40))))
-    while y[left].sum() and len(rules) < most and misses < 25:
+    while y[left].sum() and len(rules) < most and misses < MOST_MISSES:
         docs = np.unique(group[left])
         growing = np.isin(group, rng.permutation(docs)[: len(docs) * 2 // 3])
         g, p = left & growing, left & ~growing
-        rule = _grow(x[g], y[g], cuts)
+        # after a miss another half of the statistics is tried, or greed would end in the same rule
+        some = set(rng.permutation(len(cuts))[: len(cuts) // 2 + 1]) if misses else set(range(len(cuts)))
+        rule = _grow(x[g], y[g], [c if f in some else c[:0] for f, c in enumerate(cuts)])
         rule, value = _prune(rule, x[p], y[p]) if rule else (rule, -1)
         covered = _covers(rule, x) if rule else np.zeros(len(x), bool)
         if value < worth or (covered & p & (y == 1)).sum() < 5:
             misses += 1
             continue
+        misses = 0
         rules.append(rule)
         left &= ~covered
     return rules
@@ -297,8 +301,11 @@ def record_statistics(df: DataFrame, doc: str = "doc_id", text: str = "text", ru
     """
     rule = rule or learned_case(df.sparkSession)
     lines = exploded_lines(df, doc, text).select("d", "line", "w", *line_stats(), "distinct_lines", "doc_varied")
-    held = ~F.col("line").rlike(r"(?i)(\p{L})\1{4}")  # a held vowel is sung, a row of one letter is not
-    sung = F.col("line").rlike(HEADER) | F.col("line").rlike(CHORDS_ONLY) | (F.col("line").rlike(SYLLABLES_ONLY) & held)
+    parts = F.split(F.trim("line"), r"\s+")
+    chords = (F.size(parts) > 1) & F.forall(parts, lambda v: v.rlike(f"^{CHORD}$"))
+    # a held vowel is sung, a row of one letter is not
+    syllables = (F.size("w") > 0) & F.forall("w", lambda v: v.rlike(f"^{SYLLABLE}$") & ~v.rlike(r"(\p{L})\1{4}"))
+    sung = F.col("line").rlike(HEADER) | chords | syllables
     odd = F.when(sung, 0).otherwise(F.expr(rule))
     n = F.col("words")
     per = lines.groupBy("d").agg(
