@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stanzaflow.config import CorpusConfig
 from stanzaflow.functions.text import padded_ngrams, tokenize
+from stanzaflow.shared import stage
 
 #: A word list up to this many rows is sent to every executor, a longer one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -69,9 +70,10 @@ def term_counts(toks: DataFrame) -> DataFrame:
 
 
 def document_frequency(toks: DataFrame) -> DataFrame:
-    """``term, df, cf``; distinct terms are taken per document first, so no shuffle by document is needed."""
-    per = toks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return per.join(collection_frequency(toks), "term")
+    """``term, df, cf`` in one pass: every token adds to ``cf``, every distinct one of a document to ``df``."""
+    each = lambda arr, df, cf: F.transform(arr, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf")))
+    both = F.concat(each(F.col("tokens"), 0, 1), each(F.array_distinct("tokens"), 1, 0))
+    return toks.select(F.explode(both).alias("s")).groupBy("s.term").agg(F.sum("s.df").cast("bigint").alias("df"), F.sum("s.cf").cast("bigint").alias("cf"))
 
 
 def prune_vocab(freq: DataFrame, n_docs: int, no_below: int = 5, no_above: float = 0.3, keep_n: int = 100_000) -> DataFrame:
@@ -109,5 +111,5 @@ def preprocess(docs: DataFrame, config: CorpusConfig = CorpusConfig(), stopwords
             toks = drop_stopwords(toks, stopwords)
     else:
         toks = ngrams(toks, config.unit)
-    vocab = prune_vocab(document_frequency(toks), docs.count(), config.no_below, config.no_above, config.keep_n)
+    vocab = stage(prune_vocab(document_frequency(toks), docs.count(), config.no_below, config.no_above, config.keep_n), "vocab")
     return Corpus(docs, toks, vocab, bag_of_words(toks, vocab))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.operators.corpus import collection_frequency, small
+from stanzaflow.shared import stage
 
 COLUMNS = ("num_words", "num_unique_words", "num_stop_words", "num_rare_words", "num_common_words", "ratio_unique_words", "ratio_stop_words", "ratio_rare_words", "ratio_common_words")
 
@@ -29,7 +30,8 @@ def linguistic_features(toks: DataFrame, stopwords: DataFrame, rare_below: int =
     common counts are occurrences over the size of the rare or common set (0 for an empty set);
     ratios divide once more by the number of words.
     """
-    extreme = extreme_words(collection_frequency(toks), rare_below, quantile)
+    # term tables are written once: the percentile, the sizes and the join all read them
+    extreme = stage(extreme_words(stage(collection_frequency(toks), "cf"), rare_below, quantile), "extreme")
     sizes = extreme.agg(F.sum(F.col("rare").cast("long")).alias("r"), F.sum(F.col("common").cast("long")).alias("c")).first()
     n_rare, n_common = sizes["r"] or 0, sizes["c"] or 0
     # distinct terms with their counts per document: both memberships are then joins on the term

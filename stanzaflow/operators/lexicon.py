@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stanzaflow.operators.corpus import small, term_counts
+from stanzaflow.shared import stage
 
 
 def compile_lexicon(lexicon: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def match_terms(terms: DataFrame, compiled: DataFrame) -> DataFrame:
 
 def lexicon_counts(toks: DataFrame, compiled: DataFrame, categories: list[str]) -> DataFrame:
     """``doc_id`` and one count per category, 0 where nothing matches; every document has a row."""
-    cells = term_counts(toks)
-    hits = cells.join(small(match_terms(cells, compiled)), "term").select("doc_id", "cnt", F.explode("cats").alias("cat"))
+    terms = toks.select(F.explode(F.array_distinct("tokens")).alias("term")).distinct()
+    hits = term_counts(toks).join(small(stage(match_terms(terms, compiled), "matches")), "term").select("doc_id", "cnt", F.explode("cats").alias("cat"))
     per = hits.groupBy("doc_id").agg(*[F.sum(F.when(F.col("cat") == c, F.col("cnt")).otherwise(0)).cast("bigint").alias(c) for c in categories])
     return toks.select("doc_id").join(per, "doc_id", "left").fillna(0, categories)

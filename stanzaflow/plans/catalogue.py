@@ -16,7 +16,7 @@ from stanzaflow.functions.text import norm_source
 from stanzaflow.functions.vectors import dot, doubles, unit, zeros
 from stanzaflow.operators import assemble, inventory, langfilter, lexical, lexicon, topics
 from stanzaflow.operators import corpus as C
-from stanzaflow.shared import shared_dir, stage
+from stanzaflow.shared import scratch, stage
 from stanzaflow.sources import readers, writers
 from stanzaflow.streaming import score
 
@@ -141,7 +141,7 @@ def document_frequency(spark, d):
 
 def _corpus(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     t = toks(spark, d)
-    vocab = C.prune_vocab(C.document_frequency(t), documents(spark, d).count())
+    vocab = stage(C.prune_vocab(C.document_frequency(t), documents(spark, d).count()), "vocab")
     return t, vocab, C.bag_of_words(t, vocab)
 
 
@@ -518,7 +518,7 @@ def drop_empty_docs(spark, d):
 @query()
 def line_text_scan(spark, d):
     """Writes the corpus as lines and reads it back with dense ids, blank lines kept."""
-    where = f"{shared_dir(spark)}/lines-{abs(hash(d))}"
+    where = scratch(spark, "lines")
     one = table(spark, d, "corpus_texts").select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ").alias("value"))
     one.write.mode("overwrite").text(where)
     return readers.line_text(spark, where)
@@ -607,7 +607,7 @@ _BASE = f"WITH {_TOK} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS words, CAST(
 @query(_BASE)
 def csv_round_trip(spark, d):
     """Feature sets written as CSV and read back."""
-    where = f"{shared_dir(spark)}/csv-{abs(hash(d))}"
+    where = scratch(spark, "csv")
     writers.write_csv(_set_of(spark, d), where)
     back = spark.read.schema("doc_id bigint, w double, u double").option("header", True).csv(where)
     return back.select("doc_id", F.col("w").cast("bigint").alias("words"), F.col("u").cast("bigint").alias("uniq"))
@@ -616,7 +616,7 @@ def csv_round_trip(spark, d):
 @query(_BASE)
 def parquet_round_trip(spark, d):
     """Feature sets written as a Parquet folder and read back."""
-    where = f"{shared_dir(spark)}/parquet-{abs(hash(d))}"
+    where = scratch(spark, "parquet")
     writers.write_parquet(_set_of(spark, d), where)
     back = spark.read.parquet(f"{where}/features/base")
     return back.select("doc_id", F.col("words").cast("bigint").alias("words"), F.col("unique").cast("bigint").alias("uniq"))
@@ -659,10 +659,7 @@ def document_counts(spark, d):
 def stream_document_counts(spark, d):
     """The same on a stream of documents, each written once."""
     docs = documents(spark, d).select("doc_id", "text")
-    base = f"{shared_dir(spark)}/stream-{abs(hash(d))}"
-    import uuid
-
-    base = f"{base}-{uuid.uuid4().hex[:8]}"
+    base = scratch(spark, "stream")
     docs.write.parquet(f"{base}/in")
     stream = score.stream_documents(spark, f"{base}/in", docs.schema)
     score.run_once(score.document_counts(stream, _stop(spark, d)), f"{base}/out", f"{base}/log")

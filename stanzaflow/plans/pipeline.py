@@ -56,7 +56,7 @@ def extract(docs: DataFrame, resources: ResourcePaths = ResourcePaths(), feature
         dim = words.select(F.size("u")).first()[0]
     for f in rest:
         if f == "topic":
-            vocab = prune_vocab(document_frequency(kept), docs.count(), corpus.no_below, corpus.no_above, corpus.keep_n)
+            vocab = stage(prune_vocab(document_frequency(kept), docs.count(), corpus.no_below, corpus.no_above, corpus.keep_n), "vocab")
             out[f] = TopicFeature(replace(topic)).extract(Corpus(docs, kept, vocab, bag_of_words(kept, vocab)))
         else:
             if f not in resources.inventories:

@@ -33,6 +33,15 @@ def _path(spark: SparkSession, where: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session's JVM ends."""
+    where = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex[:12]}"
+    p, fs = _path(spark, where)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)  # takes only paths that exist
+    return f"{where}/{name}"
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
@@ -40,10 +49,8 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     the planner true sizes. The table is removed when the session's JVM ends.
     """
     spark = df.sparkSession
-    where = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex[:12]}-{name}"
+    where = scratch(spark, name)
     df.write.parquet(where)
-    p, fs = _path(spark, where)
-    fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(where)
     out._stanzaflow_stage = where
     return out
@@ -54,4 +61,4 @@ def discard(df: DataFrame | None) -> None:
     where = getattr(df, "_stanzaflow_stage", None)
     if where:
         p, fs = _path(df.sparkSession, where)
-        fs.delete(p, True)
+        fs.delete(p.getParent(), True)
