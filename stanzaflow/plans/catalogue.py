@@ -42,7 +42,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return readers.table(spark, f"{d}/{name}.parquet")
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,21 @@ LYRICS_SCHEMA = "message struct<header: struct<status_code: int>, body: struct<l
 FOOTER_LINES = 3
 
 
+#: Tables of fewer bytes than this aren't worth dealing out.
+SMALL_TABLE = 256 * 1024
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. One that comes in far fewer splits than there are cores is dealt out to all of
+    them (columns and filters still reach the scan); a table of many splits is read as it is."""
+    df = spark.read.parquet(path)
+    cores, splits = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if 2 * splits >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size >= SMALL_TABLE else df
+
+
 def line_text(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, text``: one document per line, stripped; blank lines stay as empty documents.
 
