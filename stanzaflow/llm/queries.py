@@ -115,7 +115,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of every source."""
     _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    return report
+    return report.withColumn("actual_share", F.round("actual_share", 9))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -174,4 +174,15 @@ SQL: dict[str, str] = {
         WITH d AS (SELECT replace(replace(lower(trim(source)), '-', '_'), ' ', '_') AS source, {_P7_TOKENS} AS n FROM documents),
         s AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(d.n), 0) AS n FROM mix_targets t LEFT JOIN d ON d.source = t.source GROUP BY ALL)
         SELECT source FROM s WHERE max_repeats * n < target_share * (SELECT sum(n) FROM s)""",
+    "p7_shares": rf"""
+        WITH d AS (SELECT doc_id, replace(replace(lower(trim(source)), '-', '_'), ' ', '_') AS source, CAST({_P7_TOKENS} AS BIGINT) AS n FROM documents WHERE doc_id IS NOT NULL),
+        s AS (SELECT t.source, t.target_share, CAST(t.max_repeats AS BIGINT) AS max_repeats, count(d.n) AS n_docs, CAST(coalesce(sum(d.n), 0) AS BIGINT) AS tokens FROM mix_targets t LEFT JOIN d ON d.source = t.source AND d.n > 0 GROUP BY ALL),
+        g AS (SELECT *, CAST((SELECT sum(tokens) FROM s) AS BIGINT) AS total_tokens FROM s),
+        k AS (SELECT *, target_share * total_tokens AS due_tokens, CASE WHEN tokens = 0 THEN 0 ELSE least(max_repeats, CAST(ceil(target_share * total_tokens / tokens) AS BIGINT)) END AS need FROM g),
+        u AS (SELECT k.source, k.due_tokens, d.doc_id, d.n, unnest(range(k.need)) AS pass FROM k JOIN d ON d.source = k.source AND d.n > 0),
+        o AS (SELECT source, due_tokens, n, pass, sum(n) OVER (PARTITION BY source ORDER BY pass, md5(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(pass AS VARCHAR), '7')), doc_id, n) - n AS start FROM u),
+        p AS (SELECT source, CAST(sum(n) AS BIGINT) AS placed, max(pass) + 1 AS passes FROM o WHERE start < due_tokens GROUP BY source)
+        SELECT k.source, k.source AS name, target_share, max_repeats, CAST(n_docs AS BIGINT) AS n_docs, tokens, total_tokens, due_tokens, CAST(ceil(coalesce(placed, 0) / 4096) AS BIGINT) AS filled_blocks,
+          coalesce(placed, 0) AS placed_tokens, CAST(coalesce(passes, 0) AS BIGINT) AS passes, round(coalesce(placed, 0) / (SELECT sum(placed) FROM p), 9) AS actual_share
+        FROM k LEFT JOIN p USING (source)""",
 }
