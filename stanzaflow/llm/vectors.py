@@ -1,11 +1,14 @@
 """The k most similar vectors of every vector, by vantage-point trees per shard.
 
-A vantage-point tree fitted on a bounded sample routes every vector to a shard. Each shard
-is cut into blocks of bounded size, each with a vantage-point tree of its own, and queries
-travel in packs: first to the blocks of their own shard, then, with the radius found
-there, to the shards that the triangle inequality cannot rule out. A branch is left out if
-its gap exceeds ``relax`` times the radius; at 1 the search is exact, below it is faster.
-Cosine order equals Euclidean order on unit vectors, so distances are taken there.
+A vantage-point tree fitted on a bounded sample routes every vector to a shard; a shard of
+more than a block is routed further by a tree fitted on a sample of its own, level by level,
+so shards stay of block size however many vectors there are. Each block gets a vantage-point
+tree of all its vectors. Vectors first ask their own block; then, with the radius found there,
+they go down the routers to the blocks that the triangle inequality cannot rule out, where
+queries and block meet in one group, so a block travels once per pack of queries. A branch is
+left out if its gap exceeds ``relax`` times the radius; at 1 the search is exact, below it is
+faster. Cosine order equals Euclidean order on unit vectors, so distances are taken there.
+Between tasks vectors are bytes of doubles: cheap to move and to read.
 """
 
 from __future__ import annotations
@@ -13,21 +16,27 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stanzaflow.shared import stage
+from stanzaflow.shared import discard, stage
 
 SAMPLE = 4096
 SHARD_ROWS = 4096
-BLOCK_ROWS = 8192
-PACK_ROWS = 1024
+#: Queries of one pack, and copies of one vector, that a task holds at most (about).
+PACK_ROWS = 16_384
+#: A router has at most so many shards; the number of a shard's child is ``FAN`` times its own plus 1 and more.
+FAN = 128
+#: Routers below one another at most: 128 to the power of 6 shards. Shards that still exceed a block (equal distances) are cut by hash.
+LEVELS = 6
 LEAF = 64
 EPS = 1e-7
+#: So many copied vectors (40 bytes each) are sent to every executor at most; more are joined by shuffle.
+BROADCAST_COPIES = 500_000
 
 
 def build_tree(points: np.ndarray, leaf: int) -> tuple[np.ndarray, list[tuple]]:
@@ -119,6 +128,15 @@ class Router:
             kid = lambda i: -leaf_no[i] - 1 if i in leaf_no else i
             self.split = {i: (sample[order[x[0]]], (x[4] + x[5]) / 2, kid(x[2]), kid(x[3])) for i, x in enumerate(nodes) if x[2] >= 0}
 
+    def dump(self) -> bytes:
+        return pickle.dumps((self.shards, self.split))
+
+    @classmethod
+    def load(cls, raw: bytes) -> Router:
+        out = cls(np.empty((0, 1)), 1)
+        out.shards, out.split = pickle.loads(raw)
+        return out
+
     def home(self, u: np.ndarray) -> np.ndarray:
         out = np.zeros(len(u), np.int32)
         stack = [(0, np.arange(len(u)))] if self.split else []
@@ -149,116 +167,218 @@ class Router:
         return out
 
 
+def _column(t: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
+    c = t.column(name)
+    if isinstance(c, pa.ChunkedArray):
+        c = c.combine_chunks()
+        if isinstance(c, pa.ChunkedArray):
+            c = c.chunk(0)
+    return c
+
+
+def _numbers(t: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    return _column(t, name).to_numpy(zero_copy_only=False)
+
+
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    """Vectors of ``dim`` doubles from their bytes."""
+    if not len(col):
+        return np.empty((0, dim))
+    _, off, data = col.buffers()
+    off = np.frombuffer(off, np.int32)[col.offset : col.offset + len(col) + 1]
+    return np.array(np.frombuffer(data, np.uint8)[off[0] : off[-1]]).view(np.float64).reshape(-1, dim)
+
+
+def _bytes(u: np.ndarray) -> pa.Array:
+    n, dim = u.shape
+    off = np.arange(0, n * dim * 8 + 1, dim * 8, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(u, np.float64))])
+
+
+def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sizes = np.diff(b.column(1).offsets.to_numpy())
+        flat, start = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float), np.append(0, np.cumsum(sizes)[:-1])
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        for dim in np.unique(sizes[sizes > 0]):
+            rows = np.flatnonzero(sizes == dim)
+            x = flat[start[rows][:, None] + np.arange(dim)]
+            with np.errstate(invalid="ignore", over="ignore"):
+                x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+                norm = np.sqrt((x * x).sum(axis=1))
+                ok = np.isfinite(norm) & (norm > 0)
+            # adding 0 turns -0 into 0, so equal vectors have equal bytes
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[ok]], pa.int64()), _bytes(x[ok] / norm[ok, None] + 0.0), pa.array(np.full(ok.sum(), dim, np.int32)), b.column(2).take(pa.array(rows[ok]))], names=["id", "u", "n", "more"])
 
 
 def unit_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """``id, u``: one unit vector per id, invalid ones left out (null, empty, with null, NaN or infinity, all zero)."""
-    v = F.col("v")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0").where(~bad)
-    rows = rows.withColumn("norm", norm).where("norm > 0").select("id", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
-    return rows.groupBy("id").agg(F.min("u").alias("u"))
+    """``id, u, n``: one unit vector (bytes) per id and its length, invalid ones left out (null, empty, with null, NaN or infinity, all zero)."""
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    # only ids that come again are gathered; vectors of the others don't move
+    again = stage(rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "again")
+    units = rows.join(_sent(again, again.limit(BROADCAST_COPIES + 1).count()).withColumn("more", F.lit(True)), "id", "left").select("id", "v", F.col("more").isNotNull().alias("more"))
+    units = units.mapInArrow(_normalise, "id bigint, u binary, n int, more boolean")
+    some = units.where("more").groupBy("id").agg(F.min(F.struct("u", "n")).alias("s")).select("id", "s.*")
+    return units.where("not more").drop("more").union(some)
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if it has at most ``BROADCAST_COPIES`` rows."""
+    return F.broadcast(df) if rows <= BROADCAST_COPIES else df
+
+
+def _cogrouped(rows: DataFrame, side: DataFrame, run, schema: str) -> DataFrame:
+    """``run(packs of rows, side)`` per node and sub; a node of many rows is cut into packs that all meet its side."""
+    per = rows.groupBy("node", "sub").agg(F.ceil(F.count("*") / PACK_ROWS).cast("int").alias("packs"))
+    q = rows.join(per, ["node", "sub"]).withColumn("p", F.pmod(F.xxhash64("id"), "packs").cast("int")).drop("packs")
+    s = side.join(per, ["node", "sub"]).withColumn("p", F.explode(F.expr("sequence(0, packs - 1)"))).drop("packs")
+    return q.groupBy("node", "sub", "p").cogroup(s.groupBy("node", "sub", "p")).applyInArrow(run, schema)
 
 
 def nearest(df: DataFrame, key: str = "doc_id", vec: str = "features", k: int = 5, min_similarity: float | None = None, relax: float = 1.0, queries: str | None = None, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``id, neighbour, similarity, rank``: the k most similar other records by cosine.
 
-    Each id counts once; of rows that differ the least unit vector stays. Vectors that are null,
-    empty, all zero or hold a null, NaN or infinity are left out, as are those whose length isn't
-    the most frequent one. Only neighbours of ``min_similarity`` or more come out where it is set.
-    ``relax`` scales the pruning radius (1: exact). ``queries`` is an SQL condition on ``id``;
-    without it every record asks. Ties go to the smaller id. Records with an equal vector are one
-    point of the trees and come back with their k + 1 least ids. The router is fitted on at most
-    ``sample`` vectors; every vector is indexed. Extra columns aren't read.
+    Each id counts once; of rows that differ the vector of the least bytes stays. Vectors that are
+    null, empty, all zero or hold a null, NaN or infinity are left out. Vectors of different lengths
+    aren't compared: each length is searched for itself. Only neighbours of ``min_similarity`` or more
+    come out where it is set. ``relax`` scales the pruning radius (1: exact). ``queries`` is an SQL
+    condition on ``id``; without it every record asks. Ties go to the smaller id. Records with an
+    equal vector are one point of the trees and come back with their k + 1 least ids. Routers are
+    fitted on at most ``sample`` vectors each; every vector is indexed. Extra columns aren't read.
     """
-    spark = df.sparkSession
-    pts = stage(unit_vectors(df, key, vec).withColumn("vh", F.xxhash64("u")), "pts")
-    lengths = pts.groupBy(F.size("u").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], "id bigint, neighbour bigint, similarity double, rank int")
-    dim = lengths[0]["n"]
-    pts = pts.where(F.size("u") == dim)
-    reps = stage(pts.groupBy("vh").agg(F.min(F.struct("id", "u")).alias("r"), F.count("*").alias("copies")).select("vh", "r.id", "r.u", "copies"), "reps")
-    total, copied = reps.agg(F.count("*"), F.max("copies")).first()
-
-    near = F.expr(queries) if queries else F.lit(True)
-    asking = reps.join(pts.where(near).select("vh").distinct(), "vh", "left_semi") if queries else reps
-
-    seen = reps.select("u", F.xxhash64("id", F.lit(3)).alias("h")).orderBy("h").limit(sample).collect()
-    router = Router(np.array([r["u"] for r in seen]), min(max(1, total // shard_rows), sample // 32))
+    pts = unit_vectors(df, key, vec).withColumn("asks", F.expr(queries) if queries else F.lit(True))
+    pts = stage(pts.select("*", F.xxhash64("u").alias("vh"), F.xxhash64(F.lit(1), "u").alias("vg")), "pts")
+    lengths = sorted((r["n"], r["count"]) for r in pts.groupBy("n").count().collect())
+    parts = [_nearest(pts.where(F.col("n") == n), c, n, k, min_similarity, relax, sample, shard_rows) for n, c in lengths if c > 1]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "id bigint, neighbour bigint, similarity double, rank int")
+    return reduce(DataFrame.union, parts)
+
+
+def _nearest(pts: DataFrame, rows: int, dim: int, k: int, min_similarity: float | None, relax: float, sample: int, shard_rows: int) -> DataFrame:
+    """The search among ``rows`` vectors of one length: ``id, u, asks, vh, vg``."""
+    copied = stage(pts.groupBy("vh", "vg").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("asks").alias("any")).where("copies > 1"), "copied")
+    copies, members = copied.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    total = rows - members + copies
+    reps = pts.select("id", "u", "asks")
+    if copies:
+        reps = pts.join(_sent(copied, copies), ["vh", "vg"], "left").where("rep is null or id = rep").select("id", "u", F.coalesce("any", "asks").alias("asks"))
     reach0 = math.sqrt(max(0.0, 2 - 2 * min_similarity)) if min_similarity is not None else 2.0
 
+    shards = min(total // shard_rows, FAN, sample // 32)
+    seen = reps.select("u", F.xxhash64("id", F.lit(3)).alias("h")).orderBy("h").limit(sample).collect() if shards > 1 else []
+    router = Router(np.frombuffer(b"".join(r["u"] for r in seen)).reshape(-1, dim), shards)
+
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(router.home(_matrix(b.column(1), dim)))], names=["id", "u", "shard"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(router.home(_matrix(b.column(1), dim)) + np.int64(1))], names=["id", "u", "asks", "node"])
+
+    def fit(t: pa.Table) -> pa.Table:
+        x, node = _matrix(_column(t, "u"), dim), t.column("node")[0].as_py()
+        shards = max(2, min(FAN, t.column("c")[0].as_py() // shard_rows, len(x) // 32))
+        return pa.table({"node": [node], "sub": pa.array([0], pa.int32()), "router": [Router(x[np.argsort(_numbers(t, "h"))][:sample], shards).dump()]})
+
+    def home_below(left: pa.Table, right: pa.Table) -> pa.Table:
+        below = Router.load(right.column("router")[0].as_py())
+        node = left.column("node")[0].as_py() * FAN + 1 + below.home(_matrix(_column(left, "u"), dim)).astype(np.int64)
+        return pa.table({"id": left.column("id"), "u": left.column("u"), "asks": left.column("asks"), "node": node})
+
+    kinds = "id bigint, u binary, asks boolean, node bigint"
+    levels: list[DataFrame] = []  # routers of the shards that exceed a block, level by level
+    subs = None
+    if router.shards == 1 and total <= 2 * shard_rows:
+        homes = reps.withColumn("node", F.lit(1).cast("bigint"))
+    else:
+        homes = stage(reps.mapInArrow(home, kinds), "homes")
+        while True:
+            counts = stage(homes.groupBy("node").agg(F.count("*").alias("c")), "counts")
+            large = counts.where(F.col("c") > 2 * shard_rows)
+            if large.isEmpty() or len(levels) >= LEVELS:
+                break
+            some = homes.join(large, "node").withColumn("h", F.xxhash64("id", F.lit(len(levels)))).where(F.pmod("h", F.lit(1 << 20)) < (0.75 * sample * (1 << 20)) / F.col("c"))
+            below = stage(some.select("node", "u", "c", "h").groupBy("node").applyInArrow(fit, "node bigint, sub int, router binary"), "routers")
+            levels.append(below)
+            known = below.select("node")
+            deeper = _cogrouped(homes.join(known, "node", "left_semi").withColumn("sub", F.lit(0)), below, home_below, kinds)
+            was, homes = homes, stage(homes.join(known, "node", "left_anti").select("id", "u", "asks", "node").union(deeper), "homes")
+            discard(was), discard(counts)
+        if not large.isEmpty():
+            # shards that could not be cut by distance are cut by hash; nearly always there are none
+            subs = counts.select("node", F.ceil(F.col("c") / (2 * shard_rows)).cast("int").alias("subs"))
+            homes = homes.join(subs, "node").withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))
+    homes = homes.select("id", "u", "asks", "node", F.lit(0).alias("sub") if subs is None else "sub")
+
+    def found(qid: np.ndarray, best: np.ndarray, who: np.ndarray) -> dict:
+        r, c = np.nonzero(np.isfinite(best))
+        return {"id": pa.array(qid[r], pa.int64()), "nb": pa.array(who[r, c], pa.int64()), "sim": pa.array(best[r, c], pa.float64())}
+
+    def own(t: pa.Table) -> pa.Table:
+        """Neighbours within the block, and for every query its vector and the radius so far."""
+        x, ids = _matrix(_column(t, "u"), dim), _numbers(t, "id").astype(np.int64)
+        order, nodes = build_tree(x, LEAF)
+        ask = np.flatnonzero(_numbers(t, "asks"))
+        best, who = search_tree(x[order], ids[order], nodes, x[ask], ids[ask], np.full(len(ask), reach0), k, relax)
+        hits = pa.table(found(ids[ask], best, who))
+        n, m = len(hits), len(ask)
+        hits = hits.append_column("u", pa.nulls(n, pa.binary())).append_column("radius", pa.nulls(n, pa.float64())).append_column("node", pa.nulls(n, pa.int64())).append_column("sub", pa.nulls(n, pa.int32()))
+        with np.errstate(invalid="ignore"):
+            radius = np.minimum(reach0, np.where(np.isfinite(best[:, -1]), np.sqrt(np.maximum(0, 2 - 2 * best[:, -1])), reach0))
+        asked = t.take(pa.array(ask))
+        rest = {"id": asked.column("id"), "nb": pa.nulls(m, pa.int64()), "sim": pa.nulls(m, pa.float64()), "u": asked.column("u"), "radius": pa.array(radius, pa.float64()), "node": asked.column("node"), "sub": asked.column("sub")}
+        return pa.concat_tables([hits, pa.table(rest)])
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u, r = _matrix(b.column(1), dim), b.column(2).to_numpy(zero_copy_only=False)
-            own = router.home(u)
             for s, act in router.reach(u, r, relax):
-                act = act[own[act] != s]
                 if len(act):
                     x = b.take(pa.array(act))
-                    yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2), pa.array(np.full(len(act), s, np.int32))], names=["id", "u", "radius", "shard"])
-
-    def sealed(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, ids = np.stack(pdf["u"].to_numpy()), pdf["id"].to_numpy(np.int64)
-        order, nodes = build_tree(u, LEAF)
-        blob = pickle.dumps((u[order], ids[order], nodes))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "sub": [pdf["sub"].iloc[0]], "block": [blob]})
+                    yield pa.RecordBatch.from_arrays([*x.columns[:5], pa.array(np.full(len(act), s + 1, np.int64))], names=["id", "u", "radius", "home", "home_sub", "node"])
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        blob = pickle.dumps((np.stack(pdf["u"].to_numpy()), pdf["id"].to_numpy(np.int64), pdf["radius"].to_numpy(float)))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "subs": [pdf["subs"].iloc[0]], "pack": [blob]})
+    def reach_below(left: pa.Table, right: pa.Table) -> pa.Table:
+        below, node = Router.load(right.column("router")[0].as_py()), left.column("node")[0].as_py()
+        left = left.select(["id", "u", "radius", "home", "home_sub"])
+        parts = below.reach(_matrix(_column(left, "u"), dim), _numbers(left, "radius"), relax)
+        return pa.concat_tables([left.take(pa.array(act)).append_column("node", pa.array(np.full(len(act), node * FAN + 1 + s, np.int64))) for s, act in parts])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, pack in zip(b.column(0), b.column(1)):
-                points, ids, nodes = pickle.loads(block.as_py())
-                q, qid, radius = pickle.loads(pack.as_py())
-                best, who = search_tree(points, ids, nodes, q, qid, radius, k, relax)
-                r, c = np.nonzero(np.isfinite(best))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(who[r, c]), pa.array(best[r, c])], names=["id", "nb", "sim"])
-
-    homes = stage(reps.select("id", "u").mapInArrow(home, "id bigint, u array<double>, shard int"), "homes")
-    subs = homes.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("subs"))
-    blocks = homes.join(F.broadcast(subs), "shard").withColumn("sub", F.pmod(F.xxhash64("id"), "subs").cast("int"))  # shards are at most sample / 32
-    blocks = stage(blocks.select("shard", "sub", "id", "u").groupBy("shard", "sub").applyInPandas(sealed, "shard int, sub int, block binary"), "blocks")
-
-    def ask(q: DataFrame) -> DataFrame:
-        """``id, nb, sim`` from queries ``id, u, radius, shard``."""
-        per = q.groupBy("shard").agg(F.ceil(F.count("*") / PACK_ROWS).cast("int").alias("packs")).join(F.broadcast(subs), "shard")
-        q = q.join(F.broadcast(per), "shard").withColumn("p", F.pmod(F.xxhash64("id"), "packs").cast("int"))
-        packs = q.groupBy("shard", "p").applyInPandas(packed, "shard int, subs int, pack binary")
-        packs = packs.withColumn("sub", F.explode(F.expr("sequence(0, subs - 1)")))
-        return packs.join(blocks, ["shard", "sub"]).select("block", "pack").mapInArrow(search, "id bigint, nb bigint, sim double")
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, ids, qid = _matrix(_column(right, "u"), dim), _numbers(right, "id").astype(np.int64), _numbers(left, "id").astype(np.int64)
+        order, nodes = build_tree(x, LEAF)
+        best, who = search_tree(x[order], ids[order], nodes, _matrix(_column(left, "u"), dim), qid, _numbers(left, "radius"), k, relax)
+        return pa.table(found(qid, best, who))
 
     def top(x: DataFrame, n: int = k) -> DataFrame:
         w = Window.partitionBy("id").orderBy(F.desc("sim"), "nb")
         return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
-    mine = (homes if not queries else homes.join(asking.select("id"), "id", "left_semi")).withColumn("radius", F.lit(reach0))
-    first = stage(top(ask(mine)), "first")
-    out = first
-    if router.shards > 1:
-        kth = first.where(F.col("rank") == k).select("id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("sim"))).alias("r"))
-        far = mine.select("id", "u").join(kth, "id", "left").select("id", "u", F.least(F.coalesce("r", F.lit(reach0)), F.lit(reach0)).alias("radius"))
-        far = stage(far.mapInArrow(reach, "id bigint, u array<double>, radius double, shard int"), "far")
-        out = top(first.drop("rank").union(ask(far)))
-    out = out.select("id", "nb", "sim")
-    if copied > 1:
-        w = Window.partitionBy("vh").orderBy("id")
-        some = pts.select("vh", "id").withColumn("no", F.row_number().over(w)).where(F.col("no") <= k + 1)
-        some = stage(some.join(reps.select("vh", F.col("id").alias("rep")), "vh").select("rep", F.col("id").alias("nb")), "some")
-        mates = reps.where("copies > 1").select(F.col("id").alias("rep")).join(some, "rep").select(F.col("rep").alias("id"), "nb", F.lit(1.0).alias("sim"))
-        wide = out.withColumnRenamed("nb", "rep").join(some, "rep").select("id", "nb", "sim").union(mates)
-        wide = top(wide, k + 1).select(F.col("id").alias("rep"), "nb", "sim")
-        each = pts.where(near).join(reps.select("vh", F.col("id").alias("rep")), "vh").select("id", "rep")
-        out = each.join(wide, "rep").where("id <> nb").select("id", "nb", "sim")
+    first = stage(homes.groupBy("node", "sub").applyInArrow(own, "id bigint, nb bigint, sim double, u binary, radius double, node bigint, sub int"), "first")
+    out = first.where("nb is not null").select("id", "nb", "sim")
+    if router.shards > 1 or subs is not None:
+        kinds = "id bigint, u binary, radius double, home bigint, home_sub int, node bigint"
+        far = first.where("nb is null").select("id", "u", "radius", F.col("node").alias("home"), F.col("sub").alias("home_sub")).mapInArrow(reach, kinds)
+        for below in levels:
+            was = stage(far, "far")
+            known = below.select("node")
+            deeper = _cogrouped(was.join(known, "node", "left_semi").withColumn("sub", F.lit(0)), below, reach_below, kinds)
+            far = was.join(known, "node", "left_anti").select("id", "u", "radius", "home", "home_sub", "node").union(deeper)
+        far = far.withColumn("sub", F.lit(0)) if subs is None else far.join(subs, "node").withColumn("sub", F.explode(F.expr("sequence(0, subs - 1)")))
+        far = stage(far.where("node <> home or sub <> home_sub").select("id", "u", "radius", "node", "sub"), "far")
+        out = out.union(_cogrouped(far, homes.select("node", "sub", "id", "u"), search, "id bigint, nb bigint, sim double"))
+    out = top(out).select("id", "nb", "sim")
+    if copies:
+        w = Window.partitionBy("vh", "vg").orderBy("id")
+        members = pts.select("vh", "vg", "id", "asks").join(_sent(copied.select("vh", "vg", "rep", "copies"), copies), ["vh", "vg"])
+        some = members.withColumn("no", F.row_number().over(w)).where(F.col("no") <= k + 1)
+        some = stage(some.select("rep", F.col("id").alias("member")), "some")
+        mates = copied.where("any").select(F.col("rep").alias("id"), "rep").join(some, "rep").select("id", F.col("member").alias("nb"), F.lit(1.0).alias("sim"))
+        wide = out.withColumnRenamed("nb", "rep").join(some, "rep", "left").select("id", F.coalesce("member", "rep").alias("nb"), "sim").union(mates)
+        wide = stage(top(wide, k + 1).select("id", "nb", "sim"), "wide")
+        # copies of one vector are spread over several groups, each with the neighbours of their representative
+        groups = copied.select("rep", F.ceil(F.col("copies") / PACK_ROWS).cast("int").alias("packs"))
+        theirs = groups.join(wide.withColumnRenamed("id", "rep"), "rep").withColumn("p", F.explode(F.expr("sequence(0, packs - 1)"))).drop("packs")
+        each = members.where("asks").select("id", "rep", F.pmod(F.xxhash64("id"), F.ceil(F.col("copies") / PACK_ROWS).cast("int")).cast("int").alias("p"))
+        theirs = each.join(theirs, ["rep", "p"]).where("id <> nb").select("id", "nb", "sim")
+        out = wide.join(groups.select(F.col("rep").alias("id")), "id", "left_anti").select("id", "nb", "sim").union(theirs)
     res = top(out)
     if min_similarity is not None:
         res = res.where(F.col("sim") >= min_similarity)

@@ -56,6 +56,27 @@ def test_copies_dirt_and_clashing_columns(spark):
     assert [a for a, _ in got[100]] == [0, 1, 2] and got[101][0][0] == 100
 
 
+def test_levels_keep_shards_of_block_size(spark):
+    """Routers of two shards each: many levels, and still exact."""
+    ids, x = data(600, 6, 4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "doc_id bigint, features array<double>")
+    got = result(vectors.nearest(df, k=3, sample=64, shard_rows=20))
+    assert got == slow(ids, x, 3)
+
+
+def test_equal_distances_are_cut_by_hash(spark):
+    """Unit axes: all distances are equal, so no vantage point can part them."""
+    df = spark.createDataFrame([(i, np.eye(120)[i].tolist()) for i in range(120)], "doc_id bigint, features array<double>")
+    got = result(vectors.nearest(df, k=2, sample=64, shard_rows=15))
+    assert len(got) == 120 and got[50] == [(0, 0.0), (1, 0.0)] and got[0] == [(1, 0.0), (2, 0.0)]
+
+
+def test_lengths_are_searched_apart(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.9, 0.0, 0.1]), (5, [1.0])]
+    got = result(vectors.nearest(spark.createDataFrame(rows, "doc_id bigint, features array<double>"), k=3))
+    assert {d: [b for b, _ in v] for d, v in got.items()} == {1: [2], 2: [1], 3: [4], 4: [3]}
+
+
 def test_few_rows(spark):
     schema = "doc_id bigint, features array<double>"
     assert vectors.nearest(spark.createDataFrame([], schema)).count() == 0
