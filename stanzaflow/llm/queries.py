@@ -15,8 +15,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return readers.table(spark, f"{d}/{name}.parquet")
 
 
-def _versions(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.groups(table(spark, d, "corpus_texts"), n=3, threshold=0.5, min_shingles=30)
+def _versions(spark: SparkSession, d: str, links: bool = False) -> DataFrame:
+    return neardup.groups(table(spark, d, "corpus_texts"), n=3, threshold=0.5, min_shingles=30, links=links)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,8 +25,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The group of versions of every record."""
-    return _versions(spark, d)
+    """The group of versions of every record, and a verified link that puts it there."""
+    return _versions(spark, d, links=True)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -82,6 +82,26 @@ def test_block_pairs_gives_each_pair_once(spark):
     assert got.count() == 150 * 149 // 2 == got.distinct().count()
 
 
+@pytest.mark.parametrize("sizes", [[300, 1], [1, 300], [64, 64, 3, 2, 1], [1] * 150, [70], [200, 90, 1, 1]])
+def test_pairs_across_parts(spark, sizes):
+    part = [r for r, n in enumerate(sizes) for _ in range(n)]
+    m = spark.createDataFrame([(k, i, r) for k in (1, 2) for i, r in enumerate(part)], "k bigint, i bigint, r bigint")
+    got = sorted(map(tuple, neardup.block_pairs_across(m, "k", "i", "r", block=16).collect()))
+    assert got == sorted((i, j) for _ in (1, 2) for j in range(len(part)) for i in range(j) if part[i] != part[j])
+
+
+def test_links_are_real(spark):
+    rows = variants(3)
+    got = neardup.groups(spark.createDataFrame(rows, SCHEMA), n=3, threshold=0.5, links=True).collect()
+    sets, group = {d: shingle_set(t, 3) for d, t in rows}, {r["doc_id"]: r["group_id"] for r in got}
+    for r in got:
+        alone = sum(g == r["group_id"] for g in group.values()) == 1
+        assert (r["linked_to"] is None) == alone
+        if not alone:
+            a, b = sets[r["doc_id"]], sets[r["linked_to"]]
+            assert group[r["linked_to"]] == r["group_id"] and abs(len(a & b) / len(a | b) - r["similarity"]) < 1e-9
+
+
 def test_banding_is_complete_at_the_threshold():
     for t in (0.5, 0.7, 0.8, 0.9):
         r, b = neardup.banding(t)
