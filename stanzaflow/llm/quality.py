@@ -12,7 +12,8 @@ import random
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Frequent function words of six languages.
@@ -34,41 +35,71 @@ LINE_STATS = {
     "words": "runs of letters", "common": "share of function words", "letters": "share of letters among visible signs", "digits": "share of digits among visible signs",
     "marks": "bars, tabs and inner semicolons per word", "gaps": "runs of two or more blanks inside the line", "lead": "starts like a list entry", "title": "share of capitalised words",
     "varied": "distinct words per word, of ten words at most", "signs": "distinct letters, of four at most", "longest": "longest run of visible signs, 18 at least", "broken": "markup or damaged encoding", "keyed": "a key, then a colon, dash, arrow or equals sign",
-    "commas": "commas per word", "clock": "a time of day or a duration", "links": "a web address", "doc_varied": "distinct lines per line of the record, a half at most",
+    "commas": "commas per word", "clock": "a time of day or a duration", "links": "a web address", "sung": "a section header, chords or sung syllables", "doc_varied": "distinct lines per line of the record, a half at most",
 }
-RULE_NAMES = tuple(LINE_STATS)
+#: What rules are induced over; ``sung`` stands in an exception ahead of them.
+RULE_NAMES = tuple(k for k in LINE_STATS if k != "sung")
+#: Lines that no rule may take: the first conditions of the CASE.
+EXCEPTIONS = ("`sung` > 0.5D",)
+#: Four different letters, wherever they stand; nothing is tried twice.
+FOUR_LETTERS = r"^(.)\1*+(.)(?:\1|\2)*+(.)(?:\1|\2|\3)*+."
+#: Labelled documents that rules are induced on at most.
+MOST_LABELLED = 20_000
 TRAINING_DOCS = 3000
 #: Induction ends after so many rules in a row that were not worth keeping.
 MOST_MISSES = 25
 
 
+def _drop(x: Column, *parts: str) -> Column:
+    """The text without these parts, byte by byte: much cheaper than a pattern."""
+    for p in parts:
+        x = F.replace(x, F.lit(p), F.lit(""))
+    return x
+
+
+def _number(x: Column, *parts: str) -> Column:
+    """How often the signs occur."""
+    return (F.length(x) - F.length(_drop(x, *parts))).cast("double")
+
+
 def line_stats(line: str = "line") -> list[Column]:
-    """The statistics of a line column, without ``doc_varied``. Expects ``w``, its lower-cased runs of letters."""
+    """The statistics of a line column, without ``doc_varied``. Expects ``w``, its lower-cased runs of letters, and ``letters_n``, their length.
+
+    Only those that a rule tests are worked out. Patterns run only on lines with a sign they need.
+    """
     x, w = F.col(line), F.col("w")
     t = F.trim(x)
-    visible = F.greatest(F.length(F.regexp_replace(x, r"[\s\p{Z}]", "")), F.lit(1))
+    visible = F.greatest(F.length(_drop(x, " ", "\t", "\u00a0")), F.lit(1))
     n = F.size(w)
     some = F.greatest(n, F.lit(1))
     frequent = sorted({v for ws in FUNCTION_WORDS.values() for v in ws})
-    num = lambda p, s=x: F.regexp_count(s, F.lit(p)).cast("double")
-    flag = lambda p, s=t: s.rlike(p).cast("double")
+    flag = lambda p: t.rlike(p).cast("double")
+    where = lambda need, value, other=0.0: F.when(need, value).otherwise(F.lit(other))
+    holds = lambda *parts: F.greatest(*[x.contains(p) for p in parts]) if len(parts) > 1 else x.contains(parts[0])
+    parts = F.split(t, r"\s+")
+    chords = (F.size(parts) > 1) & F.forall(parts, lambda v: v.rlike(f"^{CHORD}$"))
+    # a held vowel is sung, a row of one letter is not
+    syllables = (n > 0) & F.forall(w, lambda v: v.rlike(f"^{SYLLABLE}$") & ~v.rlike(r"(\p{L})\1{4}"))
+    inner = _number(x, ";") - (F.length(x) - F.length(_drop(x, "; "))) / 2 - x.endswith(";").cast("double")
     return [
         n.cast("double").alias("words"),
         (F.size(F.filter(w, lambda v: v.isin(*frequent))) / some).alias("common"),
-        (num(r"\p{L}") / visible).alias("letters"),
-        (num(r"\p{N}") / visible).alias("digits"),
-        (num(r"[|\t]|;(?=\S)") / some).alias("marks"),
-        num(r"\S(?:\s{2,}|\t)(?=\S)", t).alias("gaps"),
+        (F.col("letters_n") / visible).alias("letters"),
+        (F.regexp_count(x, F.lit(r"\p{N}")).cast("double") / visible).alias("digits"),
+        ((_number(x, "|", "\t") + where(holds(";"), inner)) / some).alias("marks"),
+        where(holds("  ", "\t"), F.regexp_count(t, F.lit(r"\S(?:\s{2,}|\t)(?=\S)")).cast("double")).alias("gaps"),
         flag(r"^(?:[-*+•·–>#~]\s|\(?\d{1,3}[.):]\s|\(?\p{L}[.)]\s|\d{1,2}[./]\d{1,2}[./]?|[-*•·])").alias("lead"),
-        (num(r"(?:^|[^\p{L}'’])\p{Lu}[\p{Ll}'’]+") / some).alias("title"),
+        where(x != F.lower(x), F.regexp_count(x, F.lit(r"(?:^|[^\p{L}'’])\p{Lu}[\p{Ll}'’]+")).cast("double") / some).alias("title"),
         F.least(F.lit(1.0), F.size(F.array_distinct(w)) / F.least(some, F.lit(10))).alias("varied"),
-        F.least(F.size(F.array_distinct(F.split(F.array_join(w, ""), ""))), F.lit(4)).cast("double").alias("signs"),
-        F.greatest(F.array_max(F.transform(F.split(t, r"\s+"), lambda v: F.length(v))), F.lit(18)).cast("double").alias("longest"),
-        flag(r"</?\p{L}+[^<>]*>|&#?\w+;|\{\S{1,40}:\S{1,60}[;}]|Ã.|â€|ï¿½|\x{FFFD}|Â ").alias("broken"),
+        # four different letters are found near the start of nearly every line
+        where(~F.array_join(w, "").rlike(FOUR_LETTERS), F.size(F.array_distinct(F.split(F.array_join(w, ""), ""))).cast("double"), 4.0).alias("signs"),
+        where(t.rlike(r"\S{19}"), F.array_max(F.transform(F.split(t, r"\s+"), lambda v: F.length(v))).cast("double"), 18.0).alias("longest"),
+        where(x.rlike("[<&{Ãâï\ufffdÂ]"), flag(r"</?\p{L}+[^<>]*>|&#?\w+;|\{\S{1,40}:\S{1,60}[;}]|Ã.|â€|ï¿½|\x{FFFD}|Â ")).alias("broken"),
         flag(r"^[\p{L}\p{N}.'’]++(?: [\p{L}\p{N}.'’]++){0,2} ?(?::|->|=>|=|–|—|→| - )\s").alias("keyed"),
-        (num(",") / some).alias("commas"),
-        flag(r"\b\d{1,2}:\d{2}\b").alias("clock"),
-        flag(r"\b\w{1,20}://|www\.").alias("links"),
+        (_number(x, ",") / some).alias("commas"),
+        where(holds(":"), flag(r"\b\d{1,2}:\d{2}\b")).alias("clock"),
+        where(holds("://", "www."), flag(r"\b\w{1,20}://|www\.")).alias("links"),
+        (x.rlike(HEADER) | chords | syllables).cast("double").alias("sung"),
     ]
 
 
@@ -257,39 +288,62 @@ def irep(x: np.ndarray, y: np.ndarray, group: np.ndarray, seed: int = 1, most: i
     return rules
 
 
-def case_expression(rules: list[Rule], names: tuple[str, ...] = RULE_NAMES) -> str:
-    """The ordered rules as one SQL CASE: 1 where a rule holds, else 0."""
-    whens = [" AND ".join(f"`{names[f]}` {op} {t!r}D" for f, op, t in rule) for rule in rules]
-    return "CASE " + " ".join(f"WHEN {w} THEN 1" for w in whens) + " ELSE 0 END" if whens else "0"
+def case_expression(rules: list[Rule], names: tuple[str, ...] = RULE_NAMES, exceptions: tuple[str, ...] = EXCEPTIONS) -> str:
+    """The ordered rules as one SQL CASE: 0 where an exception holds, 1 where a rule holds, else 0."""
+    whens = [f"WHEN {e} THEN 0" for e in exceptions]
+    whens += ["WHEN " + " AND ".join(f"`{names[f]}` {op} {t!r}D" for f, op, t in rule) + " THEN 1" for rule in rules]
+    return "CASE " + " ".join(whens) + " ELSE 0 END" if whens else "0"
+
+
+def _with_words(df: DataFrame) -> DataFrame:
+    """Adds ``w`` and ``letters_n`` of ``line``."""
+    return df.withColumn("w", F.regexp_extract_all(F.lower("line"), F.lit(r"\p{L}+"), F.lit(0))).withColumn("letters_n", F.length(F.array_join("w", "")))
 
 
 def exploded_lines(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """``d, line, w, distinct_lines, doc_varied``: the non-blank lines of every record."""
+    """``d, line, w, letters_n, distinct_lines, doc_varied``: the non-blank lines of every record."""
     t = df.select(F.col(doc).cast("bigint").alias("d"), F.col(text).cast("string").alias("t")).where("d is not null")
-    lines = F.filter(F.split(F.regexp_replace("t", "\r", ""), "\n"), lambda x: x.rlike(r"[^\s\p{Z}]"))
+    lines = F.filter(F.split(_drop(F.col("t"), "\r"), "\n"), lambda x: x.rlike(r"[^\s\p{Z}]"))
     t = t.select("d", lines.alias("lines")).where("size(lines) > 0")
     t = t.select("d", (F.size(F.array_distinct("lines")) / F.size("lines")).alias("distinct_lines"), F.explode("lines").alias("line"))
-    return t.withColumn("doc_varied", F.least(F.lit(0.5), "distinct_lines")).withColumn("w", F.regexp_extract_all(F.lower("line"), F.lit(r"\p{L}+"), F.lit(0)))
+    return _with_words(t.withColumn("doc_varied", F.least(F.lit(0.5), "distinct_lines")))
+
+
+def _induced(lines: DataFrame, seed: int) -> str:
+    """The CASE induced on ``i, d, line, y, doc_varied``."""
+    got = _with_words(lines).select("i", "d", "y", *line_stats(), "doc_varied").toPandas().sort_values("i")
+    return case_expression(irep(got[list(RULE_NAMES)].to_numpy(float), got["y"].to_numpy(int), got["d"].to_numpy(), seed))
+
+
+def learned_case(labelled: DataFrame, text: str = "text", label: str = "label", most: int = MOST_LABELLED, seed: int = 5) -> str:
+    """The CASE expression induced on labelled documents.
+
+    ``label`` is 1 (or true) for documents that are not natural text; their lines take it over, so
+    documents of one kind teach best (a line may stand as a document of its own). At most ``most``
+    documents are used, by a seeded hash of their text. Null labels and texts don't count; without
+    both labels no rule comes out. Extra columns aren't read.
+    """
+    some = labelled.select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y")).where("t is not null and y is not null").orderBy(F.xxhash64("t", F.lit(seed)), "t", "y").limit(most).toPandas()
+    spark = labelled.sparkSession
+    docs = spark.createDataFrame(some.assign(d=np.arange(len(some))), "t string, y int, d bigint")
+    lines = exploded_lines(docs, "d", "t").join(docs.select("d", "y"), "d").select("d", "line", "y", "doc_varied")
+    return _induced(lines.withColumn("i", F.row_number().over(Window.orderBy("d", "line"))), seed)  # at most ``most`` documents
 
 
 @lru_cache(maxsize=4)
-def _learned(spark_id: str, seed: int) -> str:
-    spark = SparkSession.getActiveSession()
+def _default_case(session: str, seed: int) -> str:
     rows = labelled_lines(seed)
     texts: dict[int, list[str]] = {}
     for d, line, _ in rows:
         texts.setdefault(d, []).append(line)
     varied = {d: min(0.5, len(set(v)) / len(v)) for d, v in texts.items()}
-    src = spark.createDataFrame([(i, line, varied[d]) for i, (d, line, _) in enumerate(rows)], "i bigint, line string, doc_varied double").coalesce(1)
-    src = src.withColumn("w", F.regexp_extract_all(F.lower("line"), F.lit(r"\p{L}+"), F.lit(0)))
-    got = src.select("i", *line_stats(), "doc_varied").toPandas().sort_values("i")
-    x = got[list(RULE_NAMES)].to_numpy(float)
-    return case_expression(irep(x, np.array([y for _, _, y in rows]), np.array([d for d, _, _ in rows]), seed))
+    pdf = pd.DataFrame([(i, d, line, y, varied[d]) for i, (d, line, y) in enumerate(rows)], columns=["i", "d", "line", "y", "doc_varied"])
+    return _induced(SparkSession.getActiveSession().createDataFrame(pdf, "i bigint, d bigint, line string, y int, doc_varied double"), seed)
 
 
-def learned_case(spark: SparkSession, seed: int = 5) -> str:
-    """The CASE expression learned on ``TRAINING_DOCS`` invented documents; the same for equal seeds."""
-    return _learned(spark.sparkContext.applicationId, seed)
+def default_case(spark: SparkSession, seed: int = 5) -> str:
+    """The CASE expression induced on ``TRAINING_DOCS`` documents that this module invents, where no labels are at hand."""
+    return _default_case(spark.sparkContext.applicationId, seed)
 
 
 def record_statistics(df: DataFrame, doc: str = "doc_id", text: str = "text", rule: str | None = None) -> DataFrame:
@@ -297,21 +351,16 @@ def record_statistics(df: DataFrame, doc: str = "doc_id", text: str = "text", ru
 
     Section headers, chord lines and sung syllables count as lines of verse. Records without a
     visible line get zeros and ``odd_share`` 0. Null ids are left out; a repeated id adds up its
-    rows. Extra columns aren't read. ``rule``: the CASE expression (default: learned).
+    rows. Extra columns aren't read. ``rule``: the CASE expression (``learned_case`` of labelled
+    documents; default: ``default_case``).
     """
-    rule = rule or learned_case(df.sparkSession)
-    lines = exploded_lines(df, doc, text).select("d", "line", "w", *line_stats(), "distinct_lines", "doc_varied")
-    parts = F.split(F.trim("line"), r"\s+")
-    chords = (F.size(parts) > 1) & F.forall(parts, lambda v: v.rlike(f"^{CHORD}$"))
-    # a held vowel is sung, a row of one letter is not
-    syllables = (F.size("w") > 0) & F.forall("w", lambda v: v.rlike(f"^{SYLLABLE}$") & ~v.rlike(r"(\p{L})\1{4}"))
-    sung = F.col("line").rlike(HEADER) | chords | syllables
-    odd = F.when(sung, 0).otherwise(F.expr(rule))
+    rule = rule or default_case(df.sparkSession)
+    lines = exploded_lines(df, doc, text).select("d", "line", "letters_n", *line_stats(), "distinct_lines", "doc_varied")
     n = F.col("words")
     per = lines.groupBy("d").agg(
-        F.count("*").alias("n_lines"), F.sum(n).cast("bigint").alias("n_words"), F.sum(F.length(F.array_join("w", ""))).alias("_letters"), F.sum(F.regexp_count("line", F.lit(r"[^\p{L}\p{N}\s\p{Z}]"))).alias("_symbols"),
-        F.sum(F.length(F.regexp_replace("line", r"[\s\p{Z}]", ""))).alias("_visible"), F.avg(F.col("line").rlike(r"[.,;:!?…]['\"»)]*\s*$").cast("double")).alias("ended_share"), F.sum(F.col("common") * n).alias("_common"),
-        F.max("distinct_lines").alias("distinct_lines"), F.avg(odd.cast("double")).alias("odd_share"),
+        F.count("*").alias("n_lines"), F.sum(n).cast("bigint").alias("n_words"), F.sum("letters_n").alias("_letters"), F.sum(F.regexp_count("line", F.lit(r"[^\p{L}\p{N}\s\p{Z}]"))).alias("_symbols"),
+        F.sum(F.length(_drop(F.col("line"), " ", "\t", "\u00a0"))).alias("_visible"), F.avg(F.col("line").rlike(r"[.,;:!?…]['\"»)]*\s*$").cast("double")).alias("ended_share"), F.sum(F.col("common") * n).alias("_common"),
+        F.max("distinct_lines").alias("distinct_lines"), F.avg(F.expr(rule).cast("double")).alias("odd_share"),
     )
     every = df.select(F.col(doc).cast("bigint").alias("d")).where("d is not null").distinct()
     zero = lambda c, a: F.coalesce(c, F.lit(0)).cast(a)

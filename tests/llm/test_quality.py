@@ -9,7 +9,7 @@ VERSE = "I know that you follow the golden road\nand the night is calling for me
 
 @pytest.fixture(scope="module")
 def rule(spark):
-    return Q.learned_case(spark)
+    return Q.default_case(spark)
 
 
 def shares(spark, rule, texts):
@@ -57,8 +57,37 @@ def test_rules_in_plain_python():
     rules = Q.irep(x, y, np.arange(4000) // 10, worth=0.9)
     hit = np.any([Q._covers(k, x) for k in rules], axis=0)
     assert (hit == y).mean() > 0.95
-    assert Q.case_expression([[(0, "<=", 1.5), (1, ">", 2.0)]], ("a", "b")) == "CASE WHEN `a` <= 1.5D AND `b` > 2.0D THEN 1 ELSE 0 END"
-    assert Q.case_expression([]) == "0" and Q.irep(x[:0], y[:0], y[:0]) == []
+    assert Q.case_expression([[(0, "<=", 1.5), (1, ">", 2.0)]], ("a", "b"), ("`c` > 0",)) == "CASE WHEN `c` > 0 THEN 0 WHEN `a` <= 1.5D AND `b` > 2.0D THEN 1 ELSE 0 END"
+    assert Q.case_expression([], exceptions=()) == "0" and Q.irep(x[:0], y[:0], y[:0]) == []
+
+
+def test_rules_follow_the_given_labels(spark):
+    """Texts that no generator made: once shouting is unnatural, once questions are."""
+    r = np.random.default_rng(4)
+    base = [w for t in VERSE.splitlines() for w in t.split()]
+    line = lambda: " ".join(r.choice(base, 7))
+    rows = [("\n".join(line().upper().title() if k == 0 else line().replace(" ", ", ") if k == 1 else line() for _ in range(6)), k) for k in (0, 1, 2) * 150]
+    cases = []
+    for odd in (0, 1):
+        train = spark.createDataFrame([(t, k == odd, 0.0) for t, k in rows[:300]] + [(None, True, 0.0), ("x y", None, 0.0)], "text string, label boolean, words double")
+        case = Q.learned_case(train)
+        got = shares(spark, case, [t for t, _ in rows[300:]])
+        right = sum((got[i]["odd_share"] > 0.5) == (k == odd) for i, (_, k) in enumerate(rows[300:]))
+        assert right >= 0.98 * len(got)
+        cases.append(case)
+    assert cases[0] != cases[1] and "title" in cases[0] and "title" not in cases[1]
+    assert "THEN 1" not in Q.learned_case(spark.createDataFrame([], "text string, label int"))
+
+
+def test_signs_and_cheap_counts_agree_with_patterns(spark):
+    lines = ["aaa bbb", "abab cd", "abc abc", "zzzz", "a", "", "a;b; c;", "x|y\tz", "ab ba bac d", "ééé ñ ü o"]
+    df = Q._with_words(spark.createDataFrame([(t,) for t in lines], "line string"))
+    got = {r["line"]: r for r in df.select("line", "w", *Q.line_stats()).collect()}
+    for t in lines:
+        letters = {c for c in t.lower() if c.isalpha()}
+        assert got[t]["signs"] == min(4, max(len(letters), got[t]["signs"] if not letters else 0)), t
+        some = max(1, got[t]["words"])
+        assert got[t]["marks"] == sum(c in "|\t" or (c == ";" and i + 1 < len(t) and t[i + 1] != " ") for i, c in enumerate(t)) / some, t
 
 
 def test_token_statistics(spark):
