@@ -1,10 +1,11 @@
 """Language of every record and of every stretch of a mixed one.
 
-Scripts narrow the candidates of a word; Latin words are scored by word frequencies per
-language, unknown ones by their letter trigrams. Viterbi with a switching penalty, lower
-at line ends, labels the words; lines take the language of their words, and runs of lines
-become segments. The word scores are fitted on at most ``SAMPLE_DOCS`` labelled records,
-whose lines are relabelled a few times since labels may be wrong; every record is labelled.
+Scripts and their letters narrow the candidates of a word; within a script words are scored
+by their frequencies per language, unseen ones by their letter trigrams, and one state stands
+for languages that the model doesn't know. Viterbi with a switching penalty, lower at line
+ends, labels the words; lines take the language of their words, and runs of lines become
+segments. The word scores are fitted on at most ``SAMPLE_DOCS`` labelled records, whose lines
+are relabelled a few times since labels may be wrong. Every record comes out.
 """
 
 from __future__ import annotations
@@ -20,18 +21,22 @@ from pyspark.sql import functions as F
 
 from stanzaflow.llm.quality import CHORD, FUNCTION_WORDS, HEADER, SYLLABLE
 
+#: Labelled records that the word scores are fitted on at most.
 SAMPLE_DOCS = 8000
-MOST_WORDS = 60_000
+#: A language is fitted if so many sampled records are labelled with it, and kept if this share of its lines still speaks it in the end.
+LEAST_RECORDS = 5
+LEAST_KEPT = 0.5
 ROUNDS = 4
 SWITCH_WORD, SWITCH_LINE = 7.0, 2.0
 CLIP, CLIP_UNKNOWN = 6.0, 2.0
+#: Cost of a word no language knows, and of a known word, or one of a known script, where the text is in none of the languages.
+STRANGE, FAMILIAR, SAME_SCRIPT = 1.0, 1.5, 0.4
 SEGMENT_LINES = 3
+UNKNOWN = "und"
 OUT = "doc_id bigint, segment int, first_line bigint, n_lines int, lang string, confidence double, n_segments int"
 
-LATIN = ("en", "es", "fr", "de", "pt", "it")
-#: Scripts that name a language by themselves, as ranges of code points.
-SCRIPTS = {"el": "Ͱ-Ͽ", "ru": "Ѐ-ӿ", "he": "֐-׿", "ar": "؀-ۿ", "hi": "ऀ-ॿ", "th": "฀-๿", "ja": "぀-ヿ", "ko": "가-힯", "zh": "一-鿿"}
-LANGS = LATIN + tuple(SCRIPTS)
+#: Scripts and the letters among them that the named language uses; a word of the script with other letters is in none of the languages.
+SCRIPTS = {"el": ("Ͱ-Ͽ", ""), "ru": ("Ѐ-ӿ", "Ѐ-Џѐ-ҁҊ-ӿ"), "he": ("֐-׿", ""), "ar": ("؀-ۿ", "ٮ-ۓەۮۯۺ-ۿ"), "hi": ("ऀ-ॿ", ""), "th": ("฀-๿", ""), "ja": ("぀-ヿ", ""), "ko": ("가-힯", ""), "zh": ("一-鿿", "")}
 #: Other spellings of the labels.
 LABELS = {"eng": "en", "english": "en", "spa": "es", "spanish": "es", "fra": "fr", "fre": "fr", "french": "fr", "deu": "de", "ger": "de", "german": "de", "por": "pt", "portuguese": "pt", "ita": "it", "italian": "it"}
 _WORD = re.compile(r"(?<!\w)[^\W\d_]++(?:['’](?=[^\W\d_]))?(?![\d_])")
@@ -41,7 +46,7 @@ _REMAINS = re.compile(r"\b\w{1,20}://\S+|</?\w[^<>]*>|&#?\w+;|\{[^{}]*\}|Ã.|â
 KNOWN_SHARE = 0.2
 _NO_LANGUAGE = re.compile(rf"^(?:{SYLLABLE}|{CHORD}|x)$", re.I)
 _HEADER, _CHORD = re.compile(HEADER), re.compile(CHORD)
-_SCRIPT = [(LANGS.index(k), re.compile(f"[{v}]")) for k, v in SCRIPTS.items()]
+_SCRIPT = [(k, re.compile(f"[{v}]"), re.compile(f"[{x}]") if x else None) for k, (v, x) in SCRIPTS.items()]
 
 
 def label_language(label: Column) -> Column:
@@ -70,35 +75,51 @@ def _grams(w: str) -> list[str]:
 
 
 class WordScores:
-    """Log-probabilities per language, relative to the best one, of words and letter trigrams."""
+    """Log-probabilities per language, relative to the best one, of words and letter trigrams.
+
+    The languages are those of ``FUNCTION_WORDS`` and of the labels; one whose lines turn out to
+    speak another language, as its label was only ever wrong, is given up. ``states`` adds the scripts
+    that stand for a language and, last, the unknown language.
+    """
 
     def __init__(self, texts: list[tuple[str, str | None]]):
+        seen = Counter(lang for _, lang in texts if lang)
+        self.langs = tuple(FUNCTION_WORDS) + tuple(sorted(k for k, n in seen.items() if n >= LEAST_RECORDS and k not in FUNCTION_WORDS and k not in SCRIPTS))
+        while True:
+            kept = self._fit(texts)
+            if kept == self.langs:
+                break
+            self.langs = kept
+        self.states = (*self.langs, *SCRIPTS, UNKNOWN)
+        self.scripts = [(self.states.index(k), p, other) for k, p, other in _SCRIPT]
+
+    def _fit(self, texts: list[tuple[str, str | None]]) -> tuple[str, ...]:
+        """Fits the scores; gives the languages that hold on to lines of their own."""
+        place = {k: i for i, k in enumerate(self.langs)}
         lines, labels = [], []
         for text, lang in texts:
-            k = LATIN.index(lang) if lang in LATIN else -1
+            k = place.get(lang, -1)
             for line in (text or "").split("\n"):
                 if w := line_words(line):
                     lines.append(w), labels.append(k)
         counts = Counter(w for ws in lines for w in ws)
         for ws in FUNCTION_WORDS.values():
             counts.update(ws)
-        vocab = {w: i for i, (w, _) in enumerate(counts.most_common(MOST_WORDS))}
-        seed = np.zeros((len(vocab), len(LATIN)))
-        for k, lang in enumerate(LATIN):
-            for w in FUNCTION_WORDS[lang]:
-                if w in vocab:
-                    seed[vocab[w], k] += 3
-        flat = np.array([vocab.get(w, -1) for ws in lines for w in ws], dtype=np.int64)
+        vocab = {w: i for i, w in enumerate(counts)}
+        seed = np.zeros((len(vocab), len(self.langs)))
+        for lang, ws in FUNCTION_WORDS.items():
+            for w in ws:
+                seed[vocab[w], place[lang]] += 3
+        flat = np.array([vocab[w] for ws in lines for w in ws], dtype=np.int64)
         owner = np.repeat(np.arange(len(lines)), [len(w) for w in lines]) if lines else np.empty(0, np.int64)
-        owner, flat = owner[flat >= 0], flat[flat >= 0]
-        lab = np.array(labels, dtype=np.int64)
+        lab = given = np.array(labels, dtype=np.int64)
         for _ in range(ROUNDS):
             table = seed.copy()
             ok = lab[owner] >= 0 if len(owner) else np.empty(0, bool)
             np.add.at(table, (flat[ok], lab[owner[ok]]), 1)
             score = self._relative(table, 0.3, CLIP)
             if len(lab):
-                by_line = np.zeros((len(lab), len(LATIN)))
+                by_line = np.zeros((len(lab), len(self.langs)))
                 np.add.at(by_line, owner, score[flat])
                 best = by_line.max(axis=1)
                 sure = best - np.sort(by_line, axis=1)[:, -2] > 2
@@ -107,10 +128,23 @@ class WordScores:
         grams: dict[str, np.ndarray] = {}
         for w, i in vocab.items():
             for g in _grams(w):
-                grams.setdefault(g, np.zeros(len(LATIN)))
+                grams.setdefault(g, np.zeros(len(self.langs)))
                 grams[g] += np.minimum(table[i], 5)
-        g = self._relative(np.array(list(grams.values())).reshape(-1, len(LATIN)), 1.0, 3.0) if grams else np.zeros((0, len(LATIN)))
+        g = self._relative(np.array(list(grams.values())).reshape(-1, len(self.langs)), 1.0, 3.0) if grams else np.zeros((0, len(self.langs)))
         self.grams = {k: v.astype(np.float32) for k, v in zip(grams, g)}
+        # a language fails if most lines that bear its label speak one of the seeded languages
+        return tuple(k for i, k in enumerate(self.langs) if k in FUNCTION_WORDS or self._own(given == i, owner, flat, table, i) >= LEAST_KEPT)
+
+    def _own(self, mine: np.ndarray, owner: np.ndarray, flat: np.ndarray, table: np.ndarray, k: int) -> float:
+        """Share of the language's lines whose words mostly are words of its own, judged without its label's own counts."""
+        at = mine[owner]
+        rest = np.delete(table, k, axis=1).sum(axis=1)[flat[at]]
+        # a word that other languages use about as often as this one speaks for them
+        own = table[flat[at], k] > rest
+        lines = np.unique(owner[at], return_inverse=True)[1]
+        if not len(lines):
+            return 0.0
+        return float((np.bincount(lines, own) > 0.5 * np.bincount(lines)).mean())
 
     @staticmethod
     def _relative(table: np.ndarray, alpha: float, clip: float) -> np.ndarray:
@@ -118,24 +152,29 @@ class WordScores:
         # a language that was hardly seen must not look likely for rare words
         return np.maximum(p - p.max(axis=1, keepdims=True), -clip)
 
-    def speaks(self, line: str, words: list[str]) -> bool:
-        """Whether enough of the line is known words (a script of its own counts as known)."""
-        seen = sum(len(w) for w in words if w in self.words or not w.isascii() and any(p.search(w) for _, p in _SCRIPT))
-        return seen >= KNOWN_SHARE * (len(line) - line.count(" "))
+    def familiar(self, word: str) -> bool:
+        """Whether the word is known (a script of its own counts as known)."""
+        return word in self.words or not word.isascii() and any(p.search(word) for _, p, _ in self.scripts)
 
     def score(self, word: str) -> np.ndarray:
-        out = np.full(len(LANGS), -CLIP, np.float32)
+        """A score per state: 0 for the likeliest language; a word that none knows costs all of them ``STRANGE``."""
+        out = np.full(len(self.states), -CLIP, np.float32)
         if not word.isascii():
-            for k, pattern in _SCRIPT:
+            for k, pattern, other in self.scripts:
                 if pattern.search(word):
-                    out[k] = 0
+                    if other and other.search(word):
+                        out[-1] = 0
+                    else:
+                        out[k], out[-1] = 0, -SAME_SCRIPT
                     return out
         known = self.words.get(word)
+        n = len(self.langs)
         if known is None:
             g = [self.grams[x] for x in _grams(word) if x in self.grams]
-            known = np.clip(np.sum(g, axis=0) * 0.5, None, 0) if g else np.zeros(len(LATIN))
-            known = np.maximum(known - known.max(), -CLIP_UNKNOWN)
-        out[: len(LATIN)] = known
+            guess = np.clip(np.sum(g, axis=0) * 0.5, None, 0) if g else np.zeros(n)
+            out[:n], out[-1] = np.maximum(guess - guess.max(), -CLIP_UNKNOWN) - STRANGE, 0
+        else:
+            out[:n], out[-1] = known, -FAMILIAR
         return out
 
 
@@ -181,53 +220,109 @@ def segments_of(lines: list[tuple[int, int]], least: int = SEGMENT_LINES) -> lis
     return [tuple(r) for r in joined]
 
 
-def _labeller(model: WordScores):
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
+class _Lines:
+    """Word numbers of lines, and scores of word numbers; both kept up to a bound, as lines and words come again."""
+
+    def __init__(self, model: WordScores):
+        self.model = model
+        self._reset()
+
+    def _reset(self) -> None:
+        self.lines: dict[str, tuple[np.ndarray, bool]] = {}
+        self.numbers: dict[str, int] = {}
+        self.known: list[bool] = []
+        self.scores = np.zeros((1024, len(self.model.states)), np.float32)
+
+    def trim(self) -> None:
+        if len(self.lines) > 200_000 or len(self.numbers) > 200_000:
+            self._reset()
+
+    def number(self, w: str) -> int:
+        k = self.numbers.get(w)
+        if k is None:
+            k = self.numbers[w] = len(self.numbers)
+            if k == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[k] = self.model.score(w)
+            self.known.append(self.model.familiar(w))
+        return k
+
+    def words(self, line: str) -> tuple[np.ndarray, bool]:
+        """The numbers of the words that speak for a language, and whether enough of the line is known."""
+        got = self.lines.get(line)
+        if got is None:
+            ws = line_words(line)
+            nos = [self.number(w) for w in ws]
+            seen = sum(len(w) for w, k in zip(ws, nos) if self.known[k])
+            visible = len(line) - line.count(" ")
+            # too few known words: a line of an unknown language if it is of words at all
+            if seen < KNOWN_SHARE * visible and 2 * sum(map(len, ws)) < visible:
+                nos = []
+            got = self.lines[line] = np.array(nos, np.int64), seen >= KNOWN_SHARE * visible
+        return got
+
 
-        def score(w: str) -> np.ndarray:
-            s = cache.get(w)
-            if s is None:
-                if len(cache) > 200_000:
-                    cache.clear()
-                s = cache[w] = model.score(w)
-            return s
+def _labeller(model: WordScores):
+    names, und = model.states, len(model.states) - 1
+
+    def rows_of(d: int, nos: list[int], lang: list[int], p: np.ndarray) -> list[tuple]:
+        """Segments of known languages, and runs of lines in an unknown one beside them."""
+        known = [i for i, k in enumerate(lang) if k != und]
+        segs = segments_of([(nos[i], lang[i]) for i in known])
+        rows = []
+        for k, (first, n, m) in enumerate(segs):
+            until = segs[k + 1][0] if k + 1 < len(segs) else float("inf")
+            sure = [p[i, m] for i in known if first <= nos[i] < until and lang[i] == m]
+            rows.append((first, n, names[m], float(np.mean(sure)) if sure else 0.0))
+        run: list[int] = []
+        for i, k in [*enumerate(lang), (len(lang), -1)]:
+            if k == und:
+                run.append(i)
+            elif run:
+                if len(run) >= SEGMENT_LINES or not segs:
+                    rows.append((nos[run[0]], len(run), UNKNOWN, float(np.mean(p[run, und]))))
+                run = []
+        if not segs:  # the longest, the first of equals
+            rows = sorted(rows, key=lambda r: -r[1])[:1] or [(1, 0, UNKNOWN, 0.0)]
+        return [(d, k + 1, *r, len(segs)) for k, r in enumerate(sorted(rows))]
 
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Lines(model)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            docs = []
+            docs, rows = [], []
+            seen.trim()
             for d, text in zip(ids, texts):
-                nos, words, starts = [], [], []
+                nos, parts, sure = [], [], []
                 for no, line in enumerate((text or "").split("\n"), 1):
-                    if (w := line_words(line)) and model.speaks(line, w):
-                        nos.append(no), starts.append(len(words)), words.extend(w)
-                if words:
-                    docs.append((d, nos, starts, words))
-            docs.sort(key=lambda x: len(x[3]))
-            rows, lo = [], 0
+                    w, speaks = seen.words(line)
+                    if len(w):
+                        nos.append(no), parts.append(w), sure.append(speaks)
+                if parts:
+                    docs.append((d, nos, parts, sum(map(len, parts)), sure))
+                else:
+                    rows += rows_of(d, [], [], np.zeros((0, und + 1)))
+            docs.sort(key=lambda x: x[3])
+            lo = 0
             while lo < len(docs):
                 hi = lo + 1
-                while hi < len(docs) and (hi - lo) < 512 and len(docs[hi][3]) * (hi - lo + 1) < 200_000:
+                while hi < len(docs) and (hi - lo) < 512 and docs[hi][3] * (hi - lo + 1) < 200_000:
                     hi += 1
                 part = docs[lo:hi]
                 lo = hi
-                t = len(part[-1][3])
-                x, pen = np.zeros((len(part), t, len(LANGS)), np.float32), np.full((len(part), t), SWITCH_WORD, np.float32)
-                for i, (_, _, starts, words) in enumerate(part):
-                    x[i, : len(words)] = [score(w) for w in words]
-                    pen[i, starts] = SWITCH_LINE
+                t = part[-1][3]
+                x, pen = np.zeros((len(part), t, len(names)), np.float32), np.full((len(part), t), SWITCH_WORD, np.float32)
+                for i, (_, _, parts, n, _) in enumerate(part):
+                    x[i, :n] = seen.scores[np.concatenate(parts)]
+                    pen[i, np.cumsum([0, *map(len, parts[:-1])])] = SWITCH_LINE
                 path = viterbi(x, pen)
-                for i, (d, nos, starts, words) in enumerate(part):
-                    ends = [*starts[1:], len(words)]
-                    lang = [int(np.bincount(path[i, a:z], minlength=len(LANGS)).argmax()) for a, z in zip(starts, ends)]
-                    p = np.add.reduceat(x[i, : len(words)], starts, axis=0)
+                for i, (d, nos, parts, n, sure) in enumerate(part):
+                    starts = np.cumsum([0, *map(len, parts[:-1])])
+                    votes = np.zeros((len(parts), len(names)), np.int64)
+                    np.add.at(votes, (np.repeat(np.arange(len(parts)), np.diff(np.append(starts, n))), path[i, :n]), 1)
+                    p = np.add.reduceat(x[i, :n], starts, axis=0)
                     p = np.exp(p - p.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
-                    segs = segments_of(list(zip(nos, lang)))
-                    for k, (first, n, m) in enumerate(segs):
-                        until = segs[k + 1][0] if k + 1 < len(segs) else float("inf")
-                        sure = [p[j, m] for j, no in enumerate(nos) if first <= no < until and lang[j] == m]
-                        rows.append((d, k + 1, first, n, LANGS[m], float(np.mean(sure)) if sure else 0.0, len(segs)))
+                    rows += rows_of(d, nos, np.where(sure, votes.argmax(axis=1), und).tolist(), p / p.sum(axis=1, keepdims=True))
             cols = list(zip(*rows)) or [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in OUT.split(", ")])
@@ -237,27 +332,30 @@ def _labeller(model: WordScores):
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE_DOCS, seed: int = 3) -> WordScores:
     """Word scores from at most ``sample`` labelled records, chosen by a seeded hash of the text."""
-    some = df.select(F.col(text).cast("string").alias("t"), label_language(F.col(label)).alias("l")).where(F.col("l").isin(*LATIN) & (F.length("t") > 0))
+    some = df.select(F.col(text).cast("string").alias("t"), label_language(F.col(label)).alias("l")).where(F.col("l").isNotNull() & (F.length("t") > 0))
     some = some.orderBy(F.xxhash64("t", F.lit(seed)), "t", "l").limit(sample)
     return WordScores([(r["t"], r["l"]) for r in some.toLocalIterator()])
 
 
 def segments(df: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "lang", model: WordScores | None = None) -> DataFrame:
-    """``doc_id, segment, first_line, n_lines, lang, confidence, n_segments, label_lang``.
+    """``doc_id, segment, first_line, n_lines, lang, confidence, n_segments, label_lang``; one row or more for every record.
 
     Lines are what a newline separates, counted from 1. A segment is a run of at least three lines
     in one language (blank lines, headers in square brackets, chords, sung syllables and signs are
     passed over); shorter runs are dropped and equal neighbours joined; if no run is that long, the
     longest, the first of equals, is the segment. ``confidence`` is the mean probability of the
-    language over the segment's lines. Null ids and texts without such lines give no row; repeated
-    rows give theirs again. Extra columns aren't read.
+    language over the segment's lines. Runs of three lines or more in a language that the model
+    doesn't know come out as ``und`` beside them and don't cut the others; a record of such lines
+    only has its longest run, and one without any line in a language (null and empty texts among
+    them) a row ``und`` of 0 lines with confidence 0. ``n_segments`` counts segments of known
+    languages. Null ids give no row; repeated rows give theirs again. Extra columns aren't read.
     """
     model = model or fit(df, text, label)
-    src = df.select(F.col(doc).cast("bigint").alias("d"), F.col(text).cast("string").alias("t")).where("d is not null and t <> ''")
+    src = df.select(F.col(doc).cast("bigint").alias("d"), F.col(text).cast("string").alias("t")).where("d is not null")
     names = df.select(F.col(doc).cast("bigint").alias("doc_id"), label_language(F.col(label)).alias("label_lang")).where("doc_id is not null").groupBy("doc_id").agg(F.max("label_lang").alias("label_lang"))
     return src.mapInArrow(_labeller(model), OUT).join(names, "doc_id", "left")
 
 
 def mislabelled(segs: DataFrame) -> DataFrame:
-    """Segments of records whose label is missing or names another language, or that have several."""
-    return segs.where((F.col("n_segments") > 1) | F.col("label_lang").isNull() | (F.col("label_lang") != F.col("lang")))
+    """Segments in known languages of records whose label is missing or names another language, or that have several."""
+    return segs.where(F.col("lang") != UNKNOWN).where((F.col("n_segments") > 1) | F.col("label_lang").isNull() | (F.col("label_lang") != F.col("lang")))

@@ -22,7 +22,7 @@ def model():
 def segs(spark, model, rows):
     df = spark.createDataFrame([(d, t, k, 5, "x") for d, t, k in rows], SCHEMA + ", segment int, first_line string")
     out = {}
-    for r in L.segments(df, model=model).orderBy("doc_id", "segment").collect():
+    for r in L.segments(df, model=model).where("lang <> 'und'").orderBy("doc_id", "segment").collect():
         out.setdefault(r["doc_id"], []).append((r["first_line"], r["lang"]))
     return out
 
@@ -52,12 +52,42 @@ def test_script_names_the_language(spark, model):
 def test_fit_survives_wrong_labels_and_none(spark):
     rows = [(d, t, "fr" if d % 9 == 0 else k) for d, t, k in TRAIN]
     m = L.fit(spark.createDataFrame(rows, SCHEMA))
-    assert L.LATIN[int(m.score("nobody")[:6].argmax())] == "en" and L.LATIN[int(m.score("nadie")[:6].argmax())] == "es"
+    assert m.states[int(m.score("nobody").argmax())] == "en" and m.states[int(m.score("nadie").argmax())] == "es"
     empty = L.fit(spark.createDataFrame([], SCHEMA))
-    assert L.LATIN[int(empty.score("und")[:6].argmax())] == "de"
+    assert empty.states[int(empty.score("und").argmax())] == "de"
     assert L.segments(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+DUTCH = "een oude man loopt langs het water\nzij wacht op hem bij de brug vandaag\nniemand weet waarom hij nooit meer zingt\nen morgen begint alles weer opnieuw hier"
+POLISH = "stary człowiek idzie wzdłuż rzeki\nona czeka na niego przy moście\nnikt nie wie dlaczego już nie śpiewa\njutro wszystko zacznie się od nowa"
+UKRAINIAN = "старий чоловік іде вздовж річки\nвона чекає його біля мосту\nніхто не знає чому він більше не співає\nзавтра все почнеться знову"
+
+
+def test_languages_outside_the_model_are_unknown(spark, model):
+    df = spark.createDataFrame([(1, DUTCH, "nl"), (2, POLISH, "en"), (3, UKRAINIAN, None), (4, TEXT["en"] + "\n" + POLISH, "en")], SCHEMA)
+    got = {}
+    for r in L.segments(df, model=model).orderBy("doc_id", "segment").collect():
+        got.setdefault(r["doc_id"], []).append((r["first_line"], r["lang"], r["n_segments"]))
+    assert got == {1: [(1, "und", 0)], 2: [(1, "und", 0)], 3: [(1, "und", 0)], 4: [(1, "en", 1), (5, "und", 1)]}
+    assert L.mislabelled(L.segments(df, model=model)).count() == 0
+
+
+def test_every_record_comes_out(spark, model):
+    rows = [(1, None, "en"), (2, "", "en"), (3, "la la la", "en"), (4, "12 %%", None), (5, TEXT["en"], "en"), (None, "x", "en")]
+    got = {r["doc_id"]: (r["lang"], r["n_lines"], r["confidence"]) for r in L.segments(spark.createDataFrame(rows, SCHEMA), model=model).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[5][:2] == ("en", 4) and got[5][2] > 0.9
+    assert all(got[d] == ("und", 0, 0.0) for d in (1, 2, 3, 4))
+
+
+def test_labels_name_the_languages():
+    lines = [f"{a}\n{b}" for a in DUTCH.split("\n") for b in DUTCH.split("\n")]
+    m = L.WordScores([(t, k) for _, t, k in TRAIN] + [(t, "nl") for t in lines])
+    assert "nl" in m.langs and m.states[int(m.score("niemand").argmax())] in ("nl", "de") and m.states[int(m.score("waarom").argmax())] == "nl"
+    # a label that stands on texts of other languages only is given up
+    m = L.WordScores([(t, k) for _, t, k in TRAIN * 3] + [(t, "sv") for _, t, _ in TRAIN[:12]])
+    assert "sv" not in m.langs
+
+
 def test_mislabelled(spark, model):
     df = spark.createDataFrame([(1, TEXT["en"], "English"), (2, TEXT["en"], "de"), (3, TEXT["en"], None), (4, TEXT["en"], "nl")], SCHEMA)
     assert {r["doc_id"] for r in L.mislabelled(L.segments(df, model=model)).collect()} == {2, 3, 4}
