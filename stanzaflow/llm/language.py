@@ -62,9 +62,8 @@ def line_words(line: str) -> list[str]:
     parts = line.split()
     if _HEADER.match(line) or (len(parts) > 1 and all(_CHORD.fullmatch(p) for p in parts)):
         return []
-    words = [w.replace("’", "'").lower() for w in _WORD.findall(_REMAINS.sub(" ", line))]
-    bare = [w.rstrip("'") for w in words]
-    if all(_NO_LANGUAGE.match(w) for w in bare):
+    words = _WORD.findall(_REMAINS.sub(" ", line).lower().replace("’", "'"))
+    if all(_NO_LANGUAGE.match(w.rstrip("'")) for w in words):
         return []
     return words
 
@@ -85,55 +84,61 @@ class WordScores:
     def __init__(self, texts: list[tuple[str, str | None]]):
         seen = Counter(lang for _, lang in texts if lang)
         self.langs = tuple(FUNCTION_WORDS) + tuple(sorted(k for k, n in seen.items() if n >= LEAST_RECORDS and k not in FUNCTION_WORDS and k not in SCRIPTS))
+        lines, labels, words = [], [], {}
+        for text, lang in texts:
+            for line in (text or "").split("\n"):
+                w = words.get(line)
+                if w is None:
+                    w = words[line] = line_words(line)
+                if w:
+                    lines.append(w), labels.append(lang)
+        vocab: dict[str, int] = {}
+        for ws in [*lines, *FUNCTION_WORDS.values()]:
+            for w in ws:
+                vocab.setdefault(w, len(vocab))
+        flat = np.array([vocab[w] for ws in lines for w in ws], dtype=np.int64)
+        owner = np.repeat(np.arange(len(lines)), [len(w) for w in lines]) if lines else np.empty(0, np.int64)
         while True:
-            kept = self._fit(texts)
+            place = {k: i for i, k in enumerate(self.langs)}
+            given = np.array([place.get(k, -1) for k in labels], dtype=np.int64)
+            table, score = self._fit(vocab, flat, owner, given)
+            # a language fails if most lines that bear its label speak other ones
+            kept = tuple(k for i, k in enumerate(self.langs) if k in FUNCTION_WORDS or self._own(given == i, owner, flat, table, i) >= LEAST_KEPT)
             if kept == self.langs:
                 break
             self.langs = kept
+        self.words = {w: score[i].astype(np.float32) for w, i in vocab.items() if table[i].sum() >= 2}
+        grams: dict[str, np.ndarray] = {}
+        for w, i in vocab.items():
+            few = np.minimum(table[i], 5)
+            for g in _grams(w):
+                if g in grams:
+                    grams[g] += few
+                else:
+                    grams[g] = few.copy()
+        g = self._relative(np.array(list(grams.values())).reshape(-1, len(self.langs)), 1.0, 3.0) if grams else np.zeros((0, len(self.langs)))
+        self.grams = {k: v.astype(np.float32) for k, v in zip(grams, g)}
         self.states = (*self.langs, *SCRIPTS, UNKNOWN)
         self.scripts = [(self.states.index(k), p, other) for k, p, other in _SCRIPT]
 
-    def _fit(self, texts: list[tuple[str, str | None]]) -> tuple[str, ...]:
-        """Fits the scores; gives the languages that hold on to lines of their own."""
-        place = {k: i for i, k in enumerate(self.langs)}
-        lines, labels = [], []
-        for text, lang in texts:
-            k = place.get(lang, -1)
-            for line in (text or "").split("\n"):
-                if w := line_words(line):
-                    lines.append(w), labels.append(k)
-        counts = Counter(w for ws in lines for w in ws)
-        for ws in FUNCTION_WORDS.values():
-            counts.update(ws)
-        vocab = {w: i for i, w in enumerate(counts)}
-        seed = np.zeros((len(vocab), len(self.langs)))
-        for lang, ws in FUNCTION_WORDS.items():
-            for w in ws:
-                seed[vocab[w], place[lang]] += 3
-        flat = np.array([vocab[w] for ws in lines for w in ws], dtype=np.int64)
-        owner = np.repeat(np.arange(len(lines)), [len(w) for w in lines]) if lines else np.empty(0, np.int64)
-        lab = given = np.array(labels, dtype=np.int64)
+    def _fit(self, vocab: dict[str, int], flat: np.ndarray, owner: np.ndarray, lab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, scores) of the words per language, the lines relabelled a few times."""
+        n = len(self.langs)
+        seed = np.zeros((len(vocab), n))
+        for i, lang in enumerate(self.langs):
+            for w in FUNCTION_WORDS.get(lang, ()):
+                seed[vocab[w], i] += 3
+        table, score = seed, self._relative(seed, 0.3, CLIP)
         for _ in range(ROUNDS):
-            table = seed.copy()
-            ok = lab[owner] >= 0 if len(owner) else np.empty(0, bool)
-            np.add.at(table, (flat[ok], lab[owner[ok]]), 1)
+            k = lab[owner] if len(owner) else owner
+            table = seed + np.bincount(flat[k >= 0] * n + k[k >= 0], minlength=seed.size).reshape(seed.shape)
             score = self._relative(table, 0.3, CLIP)
             if len(lab):
-                by_line = np.zeros((len(lab), len(self.langs)))
-                np.add.at(by_line, owner, score[flat])
+                by_line = np.stack([np.bincount(owner, score[flat, i], len(lab)) for i in range(n)], axis=1)
                 best = by_line.max(axis=1)
                 sure = best - np.sort(by_line, axis=1)[:, -2] > 2
                 lab = np.where(sure, by_line.argmax(axis=1), lab)
-        self.words = {w: score[i].astype(np.float32) for w, i in vocab.items() if table[i].sum() >= 2}
-        grams: dict[str, np.ndarray] = {}
-        for w, i in vocab.items():
-            for g in _grams(w):
-                grams.setdefault(g, np.zeros(len(self.langs)))
-                grams[g] += np.minimum(table[i], 5)
-        g = self._relative(np.array(list(grams.values())).reshape(-1, len(self.langs)), 1.0, 3.0) if grams else np.zeros((0, len(self.langs)))
-        self.grams = {k: v.astype(np.float32) for k, v in zip(grams, g)}
-        # a language fails if most lines that bear its label speak one of the seeded languages
-        return tuple(k for i, k in enumerate(self.langs) if k in FUNCTION_WORDS or self._own(given == i, owner, flat, table, i) >= LEAST_KEPT)
+        return table, score
 
     def _own(self, mine: np.ndarray, owner: np.ndarray, flat: np.ndarray, table: np.ndarray, k: int) -> float:
         """Share of the language's lines whose words mostly are words of its own, judged without its label's own counts."""
