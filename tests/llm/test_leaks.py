@@ -48,13 +48,61 @@ def test_small_edits_and_place(spark):
     assert text[got[1]["doc_start"] : got[1]["doc_end"]] in near and got[3]["score"] == len(item)
 
 
-def test_scores_of_both_aligners_agree():
+def edited(r, t, n):
+    for _ in range(n):
+        k, c = r.randrange(len(t)), r.choice("abcdefgh")
+        t = r.choice((t[:k] + c + t[k:], t[:k] + t[k + 1 :], t[:k] + c + t[k + 1 :]))
+    return t
+
+
+def distance(a, t):
+    """Fewest edits that turn ``a`` into a piece of ``t``."""
+    row = [0] * (len(t) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(t, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_up_to_two_edits_equal_brute_force(spark):
+    r = random.Random(8)
+    texts = ["we go to it so he is on", "the cat sat on the old mat by", *[" ".join(words(r, n, 60)) for n in (8, 9, 12, 3)]]
+    docs = []
+    for d in range(150):
+        w = texts[d % len(texts)].split()
+        a = r.randrange(max(1, len(w) - 7))
+        docs.append((d, " ".join(words(r, 12, 60)) + " " + edited(r, " ".join(w[a : a + 8]), d % 5) + " " + " ".join(words(r, 12, 60))))
+    want = set()
+    for d, t in docs:
+        for i, x in enumerate(texts):
+            w, t2 = leaks.plain_words(x), " ".join(leaks.plain_words(t))
+            if any(distance(" ".join(w[a : a + 8]), t2) <= 2 for a in range(max(1, len(w) - 7))):
+                want.add((d, i))
+    got = leaks.passages(spark.createDataFrame(docs, DOC), spark.createDataFrame(list(enumerate(texts)), ITEM), item_chars=60)
+    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want and len(want) > 80
+
+
+def test_frequent_grams_are_taken_in_parts(spark, monkeypatch):
+    items = [(i, f"la la la la la la la la la la {'abcdefgh'[i]}x") for i in range(8)]
+    docs = spark.createDataFrame([(d, "la " * (50 + d)) for d in range(6)], DOC)
+    found = lambda: {(x["doc_id"], x["item_id"]) for x in leaks.passages(docs, spark.createDataFrame(items, ITEM)).collect()}
+    assert found() == {(d, i) for d in range(6) for i in range(8)}
+    index = leaks.ItemIndex(items, 9, 8, 2)
+    texts = [leaks._codes("la " * 40 + "la")] * 4
+    monkeypatch.setattr(leaks, "MOST_HITS", 500)
+    assert {x[:2] for x in leaks._Search(index).texts([0, 1, 2, 3], texts)} == {(d, i) for d in range(4) for i in range(8)}
+
+
+def test_band_distance_equals_full_table():
     r, pairs = random.Random(1), []
-    for _ in range(40):
-        a = leaks._codes("".join(r.choice("abc") for _ in range(r.randint(5, 60))))
-        t = leaks._codes("".join(r.choice("abc") for _ in range(r.randint(5, 90))))
-        pairs.append((a, t, r.randint(-5, 20)))
-    assert (leaks.band_scores(pairs, 9) == leaks.band_align(pairs, 9)[:, 0]).all()
+    for _ in range(60):
+        a = "".join(r.choice("abc") for _ in range(r.randint(5, 40)))
+        pairs.append((a, edited(r, a, r.randint(0, 3)), -4))
+    got = leaks.band_distance([(leaks._codes(a), leaks._codes(t), f) for a, t, f in pairs], 9)
+    want = [distance(a, t) for a, t, _ in pairs]
+    assert all(g == w for g, w in zip(got, want) if w <= 2)
 
 
 def test_long_text_and_no_rows(spark):
