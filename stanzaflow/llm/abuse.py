@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,13 @@ _LOOKALIKE = str.maketrans("авеёкмнорстухіјѕԁɡοαεικνρτ
 _STAND_IN = str.maketrans("0134578@$€", "oieastbase")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:([ .\-_*·])[^\W_])(?:\1[^\W_]){1,}(?![^\W_])")
-_INNER = re.compile(r"(?<=[^\W\d_])[._\-*·~](?=[^\W\d_])")
+#: What any such word holds, found faster.
+_SPACED_SIGN = re.compile(r"([ .\-_*·])[^\W_]\1[^\W_](?![^\W_])")
+_INNER = re.compile(r"[._\-*·~](?<=[^\W\d_][._\-*·~])(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_](?:[^\W_]|[@$€!*](?=[^\W_]))*")
-_PIECE = re.compile(r"\n|(?<=[.!?;…])[\"'»”)]*\s+")
+_SENTENCE = re.compile(r"(?<=[.!?;…])[\"'»”)]*\s+")
+_END = re.compile("[.!?;…]")
+_OTHER_SCRIPT = re.compile("[Ͱ-ԯɡ]")
 _MIXED = re.compile(r"(?=.*[^\W\d_])(?=.*[\d@$€])")
 
 
@@ -55,8 +60,14 @@ def plain(text: str) -> str:
     """Lower-cased text without accents, hidden signs, look-alike letters and split-up words."""
     t = text.lower()
     if not t.isascii():
-        t = _MARKS.sub("", unicodedata.normalize("NFKD", _HIDDEN.sub("", t).translate(_LOOKALIKE))).translate(_LOOKALIKE)
-    t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), t)
+        t = _HIDDEN.sub("", t)
+        if _OTHER_SCRIPT.search(t):
+            t = t.translate(_LOOKALIKE)
+        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
+        if _OTHER_SCRIPT.search(t):
+            t = t.translate(_LOOKALIKE)
+    if _SPACED_SIGN.search(t):
+        t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), t)
     return _INNER.sub("", t)
 
 
@@ -66,58 +77,61 @@ def _squeeze(w: str) -> str:
     return _RUN.sub(r"\1", w.replace("!", "i").replace("*", ""))
 
 
-def pieces(text: str | None, known: dict[str, str] | None = None) -> list[list[str]]:
-    """Words of every sentence or line; pieces of more than ``WINDOW`` words as overlapping windows.
-
-    ``known`` keeps words that were squeezed before, up to a bound.
-    """
-    known = {} if known is None else known
-    if len(known) > 200_000:
-        known.clear()
+def raw_pieces(text: str | None) -> list[list[str]]:
+    """Words of every sentence or line; pieces of more than ``WINDOW`` words as overlapping windows."""
     out = []
-    for p in _PIECE.split(plain(text or "")):
-        w = []
-        for x in _WORD.findall(p):
-            s = known.get(x)
-            if s is None:
-                s = known[x] = _squeeze(x)
-            w.append(s)
-        if len(w) <= WINDOW:
-            if w:
-                out.append(w)
-        else:
-            out += [w[a : a + WINDOW] for a in range(0, len(w) - STRIDE, STRIDE)]
+    for line in plain(text or "").split("\n"):
+        for p in _SENTENCE.split(line) if _END.search(line) else (line,):
+            w = _WORD.findall(p)
+            if len(w) <= WINDOW:
+                if w:
+                    out.append(w)
+            else:
+                out += [w[a : a + WINDOW] for a in range(0, len(w) - STRIDE, STRIDE)]
     return out
 
 
+def pieces(text: str | None) -> list[list[str]]:
+    """The same with words squeezed, as they count."""
+    return [[_squeeze(w) for w in p] for p in raw_pieces(text)]
+
+
+def _hash(s: str, h: int) -> int:
+    for c in s.encode():
+        h = ((h ^ c) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+class _Words(dict):
+    """A number for every word; its hashes (of the squeezed word, of its consonants) stand at that place."""
+
+    def __init__(self):
+        self.pairs: list[tuple[int, int]] = []
+
+    def __missing__(self, w: str) -> int:
+        q = _squeeze(w)
+        s = re.sub("[aeiouy]", "", q)
+        self.pairs.append((_hash(q, 1469598103934665603), _hash(s, 7809847782465536322) if len(s) >= 3 else 0))
+        k = self[w] = len(self)
+        return k
+
+
 class Hasher:
-    """Feature numbers of pieces; word hashes are kept, up to a bound."""
+    """Feature numbers of pieces; words and their hashes are kept, up to a bound."""
 
     def __init__(self, bits: int = BITS):
-        self.bits, self.known = bits, {}
-
-    def _word(self, w: str) -> tuple[int, int]:
-        k = self.known.get(w)
-        if k is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            h = 1469598103934665603
-            for c in w.encode():
-                h = ((h ^ c) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-            s = re.sub("[aeiouy]", "", w)
-            g = 0
-            if len(s) >= 3:
-                g = 7809847782465536322
-                for c in s.encode():
-                    g = ((g ^ c) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-            k = self.known[w] = (h, g)
-        return k
+        self.bits, self.known, self.table = bits, _Words(), np.empty((0, 2), np.uint64)
 
     def features(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(feature, piece) pairs, each once per piece, sorted by piece."""
-        both = np.array([self._word(w) for p in parts for w in p], dtype=np.uint64).reshape(-1, 2)
-        seg = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        h, sk = both[:, 0], both[:, 1]
+        if len(self.known) > 300_000:
+            self.known, self.table = _Words(), np.empty((0, 2), np.uint64)
+        size = [len(p) for p in parts]
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(size))
+        if len(self.table) < len(self.known.pairs):
+            self.table = np.concatenate([self.table, np.array(self.known.pairs[len(self.table) :], np.uint64)])
+        h, sk = self.table[at, 0], self.table[at, 1]
+        seg = np.repeat(np.arange(len(parts)), size)
         a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
         feats, segs = [h], [seg]
         two = seg[1:] == seg[:-1]
@@ -171,7 +185,7 @@ class Ordinal:
         total = weight.sum()
         for i in range(1, steps + 1):
             theta = np.cumsum([t[0], *np.exp(t[1:])])
-            f = np.bincount(rows, w[place], len(at)) * scale
+            f = np.add.reduceat(w[place], at) * scale
             s = _sigmoid(f[:, None] - theta)  # P(y > k)
             up = np.concatenate([np.ones((len(f), 1)), s, np.zeros((len(f), 1))], axis=1)
             d = np.concatenate([np.zeros((len(f), 1)), s * (1 - s), np.zeros((len(f), 1))], axis=1)
@@ -203,11 +217,11 @@ def train(texts: list[str], grades: np.ndarray, share: float = 1.0) -> Ordinal:
     if not len(grades) or not grades.any() or grades.all():
         model.theta = np.array([9.0, 10.0, 11.0])
         return model
-    owners, fs, sizes, known = [], [], [], {}
+    owners, fs, sizes = [], [], []
     for lo in range(0, len(texts), 500):
         parts = []
         for d in range(lo, min(lo + 500, len(texts))):
-            mine = pieces(texts[d], known)
+            mine = raw_pieces(texts[d])
             parts += mine
             owners += [d] * len(mine)
         if parts:
@@ -281,7 +295,7 @@ def severities(docs: DataFrame, model: Ordinal, doc: str = "doc_id", text: str =
     values = w[kept]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hasher, known = Ordinal(), Hasher(), {}
+        m, hasher = Ordinal(), Hasher()
         m.w[kept], m.theta = values, theta
         for b in batches:
             texts = b.column(2)
@@ -289,7 +303,7 @@ def severities(docs: DataFrame, model: Ordinal, doc: str = "doc_id", text: str =
             for lo in range(0, b.num_rows, 500):
                 parts, owner = [], []
                 for i, t in enumerate(texts.slice(lo, 500).to_pylist()):
-                    mine = pieces(t, known)
+                    mine = raw_pieces(t)
                     parts += mine
                     owner += [lo + i] * len(mine)
                 if parts:
