@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ LABELS = {"eng": "en", "english": "en", "spa": "es", "spanish": "es", "fra": "fr
 _WORD = re.compile(r"(?<!\w)[^\W\d_]++(?:['’](?=[^\W\d_]))?(?![\d_])")
 #: Addresses, markup and damaged encoding inside a line.
 _REMAINS = re.compile(r"\b\w{1,20}://\S+|</?\w[^<>]*>|&#?\w+;|\{[^{}]*\}|Ã.|â€.?|ï¿½|Â(?=\s|$)|\ufffd")
+#: What any of them holds, found faster.
+_REMAINS_SIGN = re.compile("[:<&{Ãâï\ufffdÂ]")
 #: A line is in a language if known words make up this share of its visible characters.
 KNOWN_SHARE = 0.2
 _NO_LANGUAGE = re.compile(rf"^(?:{SYLLABLE}|{CHORD}|x)$", re.I)
@@ -62,7 +65,7 @@ def line_words(line: str) -> list[str]:
     parts = line.split()
     if _HEADER.match(line) or (len(parts) > 1 and all(_CHORD.fullmatch(p) for p in parts)):
         return []
-    words = _WORD.findall(_REMAINS.sub(" ", line).lower().replace("’", "'"))
+    words = _WORD.findall((_REMAINS.sub(" ", line) if _REMAINS_SIGN.search(line) else line).lower().replace("’", "'"))
     if all(_NO_LANGUAGE.match(w.rstrip("'")) for w in words):
         return []
     return words
@@ -225,6 +228,21 @@ def segments_of(lines: list[tuple[int, int]], least: int = SEGMENT_LINES) -> lis
     return [tuple(r) for r in joined]
 
 
+class _Numbers(dict):
+    """A number for every word; its scores, and its length if it is known, stand at that place."""
+
+    def __init__(self, model: WordScores):
+        self.model, self.known, self.scores = model, [], np.zeros((1024, len(model.states)), np.float32)
+
+    def __missing__(self, w: str) -> int:
+        k = self[w] = len(self)
+        if k == len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[k] = self.model.score(w)
+        self.known.append(len(w) if self.model.familiar(w) else 0)
+        return k
+
+
 class _Lines:
     """Word numbers of lines, and scores of word numbers; both kept up to a bound, as lines and words come again."""
 
@@ -233,37 +251,25 @@ class _Lines:
         self._reset()
 
     def _reset(self) -> None:
-        self.lines: dict[str, tuple[np.ndarray, bool]] = {}
-        self.numbers: dict[str, int] = {}
-        self.known: list[bool] = []
-        self.scores = np.zeros((1024, len(self.model.states)), np.float32)
+        self.lines: dict[str, tuple[list[int], bool]] = {}
+        self.numbers = _Numbers(self.model)
 
     def trim(self) -> None:
         if len(self.lines) > 200_000 or len(self.numbers) > 200_000:
             self._reset()
 
-    def number(self, w: str) -> int:
-        k = self.numbers.get(w)
-        if k is None:
-            k = self.numbers[w] = len(self.numbers)
-            if k == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[k] = self.model.score(w)
-            self.known.append(self.model.familiar(w))
-        return k
-
-    def words(self, line: str) -> tuple[np.ndarray, bool]:
+    def words(self, line: str) -> tuple[list[int], bool]:
         """The numbers of the words that speak for a language, and whether enough of the line is known."""
         got = self.lines.get(line)
         if got is None:
             ws = line_words(line)
-            nos = [self.number(w) for w in ws]
-            seen = sum(len(w) for w, k in zip(ws, nos) if self.known[k])
-            visible = len(line) - line.count(" ")
+            nos = list(map(self.numbers.__getitem__, ws))
+            seen, visible = sum(map(self.numbers.known.__getitem__, nos)), len(line) - line.count(" ")
+            speaks = seen >= KNOWN_SHARE * visible
             # too few known words: a line of an unknown language if it is of words at all
-            if seen < KNOWN_SHARE * visible and 2 * sum(map(len, ws)) < visible:
+            if not speaks and 2 * sum(map(len, ws)) < visible:
                 nos = []
-            got = self.lines[line] = np.array(nos, np.int64), seen >= KNOWN_SHARE * visible
+            got = self.lines[line] = nos, speaks
         return got
 
 
@@ -301,7 +307,7 @@ def _labeller(model: WordScores):
                 nos, parts, sure = [], [], []
                 for no, line in enumerate((text or "").split("\n"), 1):
                     w, speaks = seen.words(line)
-                    if len(w):
+                    if w:
                         nos.append(no), parts.append(w), sure.append(speaks)
                 if parts:
                     docs.append((d, nos, parts, sum(map(len, parts)), sure))
@@ -318,7 +324,7 @@ def _labeller(model: WordScores):
                 t = part[-1][3]
                 x, pen = np.zeros((len(part), t, len(names)), np.float32), np.full((len(part), t), SWITCH_WORD, np.float32)
                 for i, (_, _, parts, n, _) in enumerate(part):
-                    x[i, :n] = seen.scores[np.concatenate(parts)]
+                    x[i, :n] = seen.numbers.scores[list(chain.from_iterable(parts))]
                     pen[i, np.cumsum([0, *map(len, parts[:-1])])] = SWITCH_LINE
                 path = viterbi(x, pen)
                 for i, (d, nos, parts, n, sure) in enumerate(part):
