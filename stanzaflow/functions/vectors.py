@@ -27,6 +27,21 @@ def norm(v: Column, order: float = 2) -> Column:
     return F.pow(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(F.abs(x), F.lit(float(order)))), F.lit(1.0 / order))
 
 
+def column_norm(x: Column, order: float = 2) -> Column:
+    """Aggregate: the norm of a column of numbers (order 0, any positive p, inf or -inf)."""
+    if order == 2:
+        return F.sqrt(F.sum(x * x))
+    if order == 0:
+        return F.sum(F.when(x != 0, 1.0).otherwise(0.0))
+    if order == float("inf"):
+        return F.max(F.abs(x))
+    if order == float("-inf"):
+        return F.min(F.abs(x))
+    if not order > 0:
+        raise ValueError(f"no norm of order {order}")
+    return F.pow(F.sum(F.pow(F.abs(x), F.lit(float(order)))), F.lit(1.0 / order))
+
+
 def unit(v: Column, order: float = 2, eps: float = EPS) -> Column:
     """The vector over its norm, the norm being ``eps`` at least (so zero stays zero)."""
     n = F.greatest(norm(v, order), F.lit(eps))

@@ -7,19 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stanzaflow.functions.vectors import EPS, zeros
+from stanzaflow.functions.vectors import EPS, column_norm, zeros
 
 AUDIO_STATS = ("mean", "std")
 
 
-def align(sets: dict[str, DataFrame], check: bool = True) -> DataFrame:
+def align(sets: dict[str, DataFrame], check: bool = True, order: str | None = None) -> DataFrame:
     """``doc_id`` and ``<set>_<column>`` of all sets, in the rows of the first set.
 
-    Further ids of other sets are dropped; an id they lack raises ``KeyError`` if ``check`` is on.
+    Of an id that comes again in another set the last row stays: by the column ``order`` where the set
+    has it, else in reading order. Further ids of other sets are dropped; an id they lack raises
+    ``KeyError`` if ``check`` is on. Repeated ids of the first set keep their rows.
     """
     if not sets:
         raise ValueError("no feature sets")
-    named = [(n, df.select("doc_id", *[F.col(c).alias(f"{n}_{c}") for c in df.columns if c != "doc_id"])) for n, df in sets.items()]
+    named = []
+    for k, (n, df) in enumerate(sets.items()):
+        cols = [F.col(c).alias(f"{n}_{c}") for c in df.columns if c not in ("doc_id", order)]
+        by = F.col(order) if order in df.columns else F.monotonically_increasing_id()
+        named.append((n, df.select("doc_id", *cols) if k == 0 else last_rows(df.select("doc_id", *cols, by.alias("_order")), "doc_id", "_order")))
     if check:
         anchor = named[0][1].select("doc_id")
         for n, df in named[1:]:
@@ -56,13 +62,13 @@ def spread(df: DataFrame, array: str, columns: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c != array], *[F.element_at(array, i + 1).alias(c) for i, c in enumerate(columns)])
 
 
-def normalize_columns(df: DataFrame, key: str, vec: str, dim: int, order: int = 2, eps: float = EPS) -> DataFrame:
-    """Vectors with every component over the norm of its column; one aggregate row and no long form."""
+def normalize_columns(df: DataFrame, key: str, vec: str, dim: int, order: float = 2, eps: float = EPS) -> DataFrame:
+    """Vectors with every component over the norm of its column (order 0, any positive one, inf or -inf); one aggregate row and no long form."""
     x = lambda i: F.element_at(F.col(vec), i + 1).cast("double")
-    part = (lambda c: c * c) if order == 2 else (lambda c: F.abs(c))
-    sums = df.agg(*[F.sum(part(x(i))).alias(f"n{i}") for i in range(dim)])
-    norm = lambda i: F.greatest(F.sqrt(f"n{i}") if order == 2 else F.col(f"n{i}"), F.lit(eps))
-    return df.crossJoin(F.broadcast(sums)).select(key, F.array(*[x(i) / norm(i) for i in range(dim)]).alias("u"))  # one row
+    whole = lambda c: column_norm(c, order)
+    norms = df.agg(*[whole(x(i)).alias(f"n{i}") for i in range(dim)])
+    norm = lambda i: F.greatest(F.col(f"n{i}"), F.lit(eps))
+    return df.crossJoin(F.broadcast(norms)).select(key, F.array(*[x(i) / norm(i) for i in range(dim)]).alias("u"))  # one row
 
 
 def order_hash(key: Column, seed: int) -> Column:
@@ -89,6 +95,19 @@ def exact_split(df: DataFrame, key: str = "doc_id", train_ratio: float = 0.8, se
     return rest.unionByName(edge).drop("_h", "_b")
 
 
+def row_ranges(counts: DataFrame, key: str, n: str, per_block: int = 65_536) -> DataFrame:
+    """``key, start, end``: ranges of ``n`` positions each, in the order of the integer ``key``.
+
+    A running sum in two steps: over blocks of keys, then within each block.
+    """
+    c = counts.select(F.col(key), F.col(n).alias("_n"), F.floor(F.col(key) / per_block).alias("_b"))
+    sums = c.groupBy("_b").agg(F.sum("_n").alias("_s"))
+    before = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_before"))  # a row per block
+    inner = F.sum("_n").over(Window.partitionBy("_b").orderBy(key))
+    out = c.join(before, "_b").withColumn("end", F.col("_before") + inner)
+    return out.select(key, (F.col("end") - F.col("_n")).alias("start"), "end")
+
+
 def csr_to_long(data: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """``row_id, col_id, value`` from a sparse matrix in row form.
 

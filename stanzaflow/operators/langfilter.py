@@ -33,6 +33,12 @@ def foreign_topics(beta: DataFrame, english: DataFrame, top_k_words: int = 50, t
     return out.groupBy("topic").count().where(F.col("count") >= thresh).select("topic")
 
 
+def drop_foreign(docs: DataFrame, theta: DataFrame, foreign: DataFrame) -> DataFrame:
+    """``docs`` without those whose likeliest topic is a foreign one."""
+    drop = topics.dominant_topic(theta).join(F.broadcast(foreign), "topic").select("doc_id")  # at most k topics
+    return docs.join(drop, "doc_id", "left_anti")
+
+
 def filter_english(docs: DataFrame, english: DataFrame, stopwords: DataFrame | None = None, k: int = 20, thresh: int = 15, top_k_words: int = 50, n_iter: int = 1, em_iters: int = 30, preproc: bool = True, seed: int = 0) -> DataFrame:
     """Documents without those whose likeliest topic is foreign; fitted anew in each of ``n_iter`` rounds.
 
@@ -45,6 +51,5 @@ def filter_english(docs: DataFrame, english: DataFrame, stopwords: DataFrame | N
         bad = stage(foreign_topics(model.beta, english, top_k_words, thresh), "bad")
         if bad.isEmpty():
             break
-        drop = topics.dominant_topic(model.theta).join(F.broadcast(bad), "topic").select("doc_id")  # at most k topics
-        docs = docs.join(drop, "doc_id", "left_anti")
+        docs = drop_foreign(docs, model.theta, bad)
     return docs

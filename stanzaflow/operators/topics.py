@@ -152,16 +152,18 @@ def fit(bow: DataFrame, docs: DataFrame, vocab: DataFrame, k: int = 25, n_iters:
             theta, beta = stage(t, "theta"), stage(b, "beta")
         return TopicModel(k, theta, beta)
     table = np.zeros((n_terms, k))
-    for r in beta.join(vocab.select("term", "term_id"), "term").select("term_id", "be").toLocalIterator():
-        table[r["term_id"]] = r["be"]
+    got = beta.join(vocab.select("term", "term_id"), "term").select("term_id", "be").toArrow()
+    if len(got):
+        table[got.column(0).to_numpy()] = got.column(1).combine_chunks().flatten().to_numpy().reshape(-1, k)
     state = stage(document_rows(bow, vocab, theta), "docs")
     kinds = f"doc_id {dict(state.dtypes)['doc_id']}, terms array<bigint>, cnts array<bigint>, th array<double>, term_id bigint, q array<double>"
     for _ in range(n_iters):
         new = stage(state.select("doc_id", "terms", "cnts", "th").mapInArrow(_stepper(table, k), kinds), "step")
         sums = new.where("term_id is not null").groupBy("term_id").agg(*[F.sum(F.element_at("q", z + 1)).alias(f"q{z}") for z in range(k)])
         table = np.zeros_like(table)
-        for r in sums.toLocalIterator():
-            table[r["term_id"]] = r[1:]
+        got = sums.toArrow()  # at most MOST_CELLS numbers
+        if len(got):
+            table[got.column(0).to_numpy()] = np.stack([c.to_numpy() for c in got.columns[1:]], axis=1)
         table /= EPS + table.sum(axis=0)
         discard(state)
         state = new.where("term_id is null")

@@ -12,10 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stanzaflow.config import ResourcePaths
 from stanzaflow.functions.text import norm_source
 from stanzaflow.functions.vectors import dot, doubles, unit, zeros
 from stanzaflow.operators import assemble, inventory, langfilter, lexical, lexicon, topics
 from stanzaflow.operators import corpus as C
+from stanzaflow.plans import pipeline
 from stanzaflow.shared import scratch, stage
 from stanzaflow.sources import readers, writers
 from stanzaflow.streaming import score
@@ -106,6 +108,16 @@ def lemmatize_lookup(spark, d):
     return C.lemmatize(toks(spark, d), lem).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
+@query(f"WITH {_ROWS}, l AS (SELECT DISTINCT term, regexp_replace(term, '(ing|ed|es|s)$', '') AS lemma FROM rw WHERE length(term) > 4), m AS (SELECT doc_id, pos, coalesce(lemma, rw.term) AS t FROM rw LEFT JOIN l ON l.term = rw.term), a AS (SELECT doc_id, string_agg(t, ' ' ORDER BY pos) AS s FROM m GROUP BY doc_id) SELECT tok.doc_id, coalesce(s, '') AS tokens FROM tok LEFT JOIN a USING (doc_id)")
+def lemmatize_from_file(spark, d):
+    """Lemmas for every longer word of the collection, written as a word list and read by its reader."""
+    t = stage(toks(spark, d), "tokens")
+    words = t.select(F.explode("tokens").alias("term")).distinct().where(F.length("term") > 4)
+    where = scratch(spark, "lemmas")
+    words.select(F.concat_ws(",", "term", F.regexp_replace("term", "(ing|ed|es|s)$", ""))).write.text(where)
+    return C.lemmatize(t, readers.lemma_table(spark, where)).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @query(f"WITH {_ROWS}, m AS (SELECT rw.* FROM rw ANTI JOIN stopwords s ON s.term = rw.term), a AS (SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS s FROM m GROUP BY doc_id) SELECT tok.doc_id, coalesce(s, '') AS tokens FROM tok LEFT JOIN a USING (doc_id)")
 def remove_stopwords(spark, d):
     return C.drop_stopwords(toks(spark, d), table(spark, d, "stopwords")).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
@@ -418,10 +430,11 @@ def plsa_doc_topic(spark, d):
     return _cols(_fit(spark, d, 5, 3)[0].theta, "doc_id", "th", 5)
 
 
-@query()
+@query(f"WITH {_BOW}, {_em_sql(25, 30)} SELECT doc_id, {', '.join(f'round(th[{z + 1}], 4) AS topic{z + 1}' for z in range(25))} FROM th30")
 def topic_features_25(spark, d):
     """The default fit: 25 topics, 30 steps."""
-    return _rounded(topics.topic_columns(_fit(spark, d, 25, 30)[0].theta, 25))
+    th = topics.topic_columns(_fit(spark, d, 25, 30)[0].theta, 25)
+    return th.select("doc_id", *[F.round(c, 4).alias(c) for c in th.columns[1:]])
 
 
 @query(f"""WITH {_BOW}, {_em_sql(3, 1)}, {tok_sql('corpus_texts', 'tok2')}, c2 AS (SELECT doc_id, term, count(*) AS cnt FROM (SELECT doc_id, unnest(tokens) AS term FROM tok2) GROUP BY ALL),
@@ -500,9 +513,32 @@ def non_englishness_total(spark, d):
 
 @query()
 def english_topic_filter(spark, d):
-    """Documents that stay after foreign topics are dropped (20 topics, 30 steps)."""
+    """Documents that stay after foreign topics are dropped, by the default settings (20 topics, 30 steps, 15 terms)."""
     docs = documents(spark, d).select("doc_id", "text")
-    return langfilter.filter_english(docs, _english(spark, d), table(spark, d, "stopwords"), thresh=45).select("doc_id")
+    return langfilter.filter_english(docs, _english(spark, d), table(spark, d, "stopwords")).select("doc_id")
+
+
+#: Topics of which this many of the 50 likeliest terms are foreign are dropped in the step below; at 15 all three topics of these tables are.
+FOREIGN = 45
+_FOREIGN = f"WITH {_BOW}, {_em_sql(3, 1)}, {_ENG}, x AS (SELECT term, unnest(be) AS p, generate_subscripts(be, 1) - 1 AS topic FROM be1), r AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY round(p, 12) DESC, term) AS rank, term FROM x), bad AS (SELECT topic, count(*) AS n FROM r ANTI JOIN eng USING (term) WHERE rank <= 50 GROUP BY topic)"
+
+
+def _rounded_step(spark, d) -> tuple[DataFrame, DataFrame]:
+    th, be = _one_step(spark, d)
+    return th.select("doc_id", F.transform("th", lambda x: F.round(x, 9)).alias("th")), be.select("term", F.transform("be", lambda x: F.round(x, 12)).alias("be"))
+
+
+@query(_FOREIGN + " SELECT CAST(topic AS BIGINT) AS topic FROM bad WHERE n >= 15")
+def foreign_topics(spark, d):
+    """Topics of a given model with 15 or more of their 50 likeliest terms outside the vocabulary."""
+    return langfilter.foreign_topics(_rounded_step(spark, d)[1], _english(spark, d)).select(F.col("topic").cast("bigint").alias("topic"))
+
+
+@query(_FOREIGN + f", t AS (SELECT doc_id, list_transform(th, lambda x: round(x, 9)) AS th FROM th1) SELECT doc_id FROM t WHERE list_position(th, list_max(th)) - 1 NOT IN (SELECT topic FROM bad WHERE n >= {FOREIGN})")
+def english_filter_step(spark, d):
+    """Documents that one round of the filter keeps, given a model."""
+    th, be = _rounded_step(spark, d)
+    return langfilter.drop_foreign(documents(spark, d).select("doc_id"), th, langfilter.foreign_topics(be, _english(spark, d), thresh=FOREIGN))
 
 
 @query("WITH l AS (SELECT doc_id, list_filter(string_split(lower(text), chr(10)), lambda x: x <> '') AS l FROM corpus_texts) SELECT doc_id, array_to_string(l[1:greatest(len(l) - 3, 0)], ' ') AS text FROM l")
@@ -515,13 +551,19 @@ def drop_empty_docs(spark, d):
     return table(spark, d, "corpus_texts").where("text <> ''").select("doc_id", "tid")
 
 
-@query()
+_STRIP = r"regexp_replace(regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g'), '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g')"
+
+
+@query(f"SELECT {_STRIP} AS text, CAST(count(*) AS BIGINT) AS n, true AS dense FROM corpus_texts GROUP BY 1")
 def line_text_scan(spark, d):
-    """Writes the corpus as lines and reads it back with dense ids, blank lines kept."""
+    """Writes the corpus as lines and reads it back, blank lines kept; ids must be dense."""
     where = scratch(spark, "lines")
     one = table(spark, d, "corpus_texts").select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ").alias("value"))
     one.write.mode("overwrite").text(where)
-    return readers.line_text(spark, where)
+    rows = stage(readers.line_text(spark, where), "lines")
+    ids = rows.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("k"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    dense = ids["n"] == ids["k"] == (ids["hi"] or 0) + 1 and not ids["lo"]
+    return rows.groupBy("text").agg(F.count("*").alias("n")).withColumn("dense", F.lit(dense))
 
 
 # ------------------------------------------------------------------ joins and tables
@@ -552,14 +594,16 @@ def long_to_csr(spark, d):
 def csr_to_long(spark, d):
     """A matrix of stored entries with row ranges (orders by customer), back to long form."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    # positions: entries of a customer lie together; offsets come from a running sum over the few customers
     entries = lines.select(F.col("o_custkey").alias("row_no"), F.col("l_partkey").cast("bigint").alias("index"), F.col("l_linenumber").cast("bigint").alias("value"), F.xxhash64("l_orderkey", "l_linenumber").alias("h"))
     entries = stage(entries, "entries")
-    per = entries.groupBy("row_no").agg(F.count("*").alias("n"))
-    rows = per.select("row_no", F.col("row_no").cast("string").alias("row_id"), (F.sum("n").over(Window.orderBy("row_no")) - F.col("n")).alias("start"), F.col("n")).withColumn("end", F.col("start") + F.col("n"))
-    data = entries.join(rows.select("row_no", "start"), "row_no").withColumn("pos", F.col("start") + F.row_number().over(Window.partitionBy("row_no").orderBy("h")) - 1).select("pos", "index", "value")
-    cols = entries.select(F.col("index").alias("col_no")).distinct().withColumn("col_id", F.col("col_no").cast("string"))
-    return assemble.csr_to_long(stage(data, "data"), rows.select("row_no", "row_id", "start", "end"), cols)
+    ranges = assemble.row_ranges(entries.groupBy("row_no").agg(F.count("*").alias("n")), "row_no", "n")
+    data = entries.join(ranges.select("row_no", "start"), "row_no").withColumn("pos", F.col("start") + F.row_number().over(Window.partitionBy("row_no").orderBy("h")) - 1)
+    # written in the layout of a matrix file and read back by its reader
+    where = scratch(spark, "matrix")
+    data.select("pos", "index", "value").write.parquet(f"{where}/data")
+    ranges.select("row_no", F.col("row_no").cast("string").alias("row_id"), "start", "end").write.parquet(f"{where}/users")
+    entries.select(F.col("index").alias("col_no")).distinct().withColumn("col_id", F.col("col_no").cast("string")).write.parquet(f"{where}/items")
+    return assemble.csr_to_long(*readers.csr_parquet(spark, where))
 
 
 _AUDIO = "im AS (SELECT mxm, arg_max({'v': msd}, line_no).v AS msd FROM id_map WHERE mxm IS NOT NULL GROUP BY mxm), au AS (SELECT t.tid, min(CAST(f.features AS DOUBLE[])) AS f FROM (SELECT DISTINCT doc_id, tid FROM corpus_texts WHERE tid IS NOT NULL) t JOIN text_features f USING (doc_id) WHERE f.features IS NOT NULL GROUP BY t.tid)"
@@ -630,6 +674,16 @@ def topic_matrix_columns(spark, d):
     return _rounded(topics.topic_columns(t.select("doc_id", doubles(F.col("th")).alias("th")), 25))
 
 
+@query(f"WITH {tok_sql('corpus_texts')}, rw AS (SELECT doc_id, unnest(tokens) AS term FROM tok), cell AS (SELECT doc_id, term, count(*) AS cnt FROM rw GROUP BY ALL), cf AS (SELECT term, CAST(sum(cnt) AS BIGINT) AS cf, count(*) AS df FROM cell GROUP BY term)" + _LING[_LING.index(", q AS") :].replace("SELECT tok.doc_id, w AS num_words", "SELECT c0.doc_id, w AS num_words").replace("FROM tok LEFT JOIN a USING (doc_id)", "FROM corpus_texts c0 LEFT JOIN a USING (doc_id)"))
+def extract_linguistic(spark, d):
+    """The whole run of the command line: extract, write as a Parquet folder, read back."""
+    stop = f"{d}/stopwords.parquet"
+    sets = pipeline.extract(table(spark, d, "corpus_texts").select("doc_id", "text"), ResourcePaths(stopwords=stop), ("linguistic",))
+    where = scratch(spark, "extract")
+    writers.write_parquet({k: v.table for k, v in sets.items()}, where)
+    return _rounded(spark.read.parquet(f"{where}/features/linguistic"))
+
+
 _RANGE = "SELECT norm AS source, CAST(count(*) AS BIGINT) AS n, CAST(sum(len(tokens)) AS BIGINT) AS tokens FROM (SELECT replace(replace(lower(trim(source)), '-', '_'), ' ', '_') AS norm, tokens FROM tok JOIN documents USING (doc_id)) GROUP BY norm"
 
 

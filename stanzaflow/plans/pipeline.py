@@ -36,7 +36,7 @@ def extract(docs: DataFrame, resources: ResourcePaths = ResourcePaths(), feature
         docs = filter_english(docs, readers.word_list(spark, resources.english_vocab), stop)
     raw = tokens(docs)
     if resources.lemmas:
-        raw = lemmatize(raw, spark.read.parquet(resources.lemmas))
+        raw = lemmatize(raw, readers.lemma_table(spark, resources.lemmas))
     raw = stage(raw, "tokens")
     full = Corpus(docs, raw, None, None)
     out: dict[str, FeatureSet] = {}

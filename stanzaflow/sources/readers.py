@@ -6,25 +6,27 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 LYRICS_SCHEMA = "message struct<header: struct<status_code: int>, body: struct<lyrics: struct<lyrics_body: string>>>"
 FOOTER_LINES = 3
 
 
-#: Tables of fewer bytes than this aren't worth dealing out.
-SMALL_TABLE = 256 * 1024
+#: On-disk size from which a table is worth dealing out to all cores, and up to which that costs next to nothing.
+DEAL_LEAST, DEAL_MOST = 256 * 1024, 32 * 1024 * 1024
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table. One that comes in far fewer splits than there are cores is dealt out to all of
-    them (columns and filters still reach the scan); a table of many splits is read as it is."""
+    """A Parquet table, read as it lies.
+
+    Only a small table (``DEAL_MOST`` bytes at most) of fewer files than there are cores is dealt out
+    to all of them: it may be one row group, which no split setting can part.
+    """
     df = spark.read.parquet(path)
-    cores, splits = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    if 2 * splits >= cores:
-        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size >= SMALL_TABLE else df
+    if not DEAL_LEAST <= size <= DEAL_MOST:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def line_text(spark: SparkSession, path: str) -> DataFrame:
@@ -65,9 +67,23 @@ def lyrics_json(spark: SparkSession, path: str, suffix: str = "json", keep_empty
 
 
 def id_map_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``mxm, msd, line_no`` of a two-column file without header; ``operators.assemble.id_map`` picks the last of repeats."""
-    rows = spark.read.schema("mxm string, msd string").csv(path)
-    return rows.withColumn("line_no", F.monotonically_increasing_id())
+    """``mxm, msd, line_no`` of a two-column file without header; ``operators.assemble.id_map`` picks the last of repeats.
+
+    Lines are numbered in the order of files and of lines within them, however the files are split.
+    """
+    rows = line_text(spark, path).where("text <> ''")
+    return rows.select(F.from_csv("text", "mxm string, msd string").alias("r"), F.col("doc_id").alias("line_no")).select("r.*", "line_no")
+
+
+def lemma_table(spark: SparkSession, path: str) -> DataFrame:
+    """``term, lemma`` from a Parquet table, or from lines of the two words parted by a comma or tab (no header); lower-cased."""
+    if path.rstrip("/").endswith("parquet"):
+        rows = spark.read.parquet(path).select("term", "lemma")
+    else:
+        parts = F.split("value", "[,\t]")
+        rows = spark.read.text(path).where(F.size(parts) == 2).select(parts[0].alias("term"), parts[1].alias("lemma"))
+    low = lambda c: F.lower(F.trim(c)).alias(c)
+    return rows.select(low("term"), low("lemma")).where("term <> '' and lemma <> ''")
 
 
 def inventory_json(spark: SparkSession, path: str) -> DataFrame:
@@ -114,10 +130,3 @@ def embeddings(spark: SparkSession, path: str) -> DataFrame:
 def csr_parquet(spark: SparkSession, path: str, row: str = "users", col: str = "items") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(data, rows, cols) for ``operators.assemble.csr_to_long`` from tables ``data``, ``users`` and ``items`` under ``path``."""
     return spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/{row}"), spark.read.parquet(f"{path}/{col}")
-
-
-AUDIO_SCHEMA = T.StructType([T.StructField("tid", T.StringType()), T.StructField("feature", T.ArrayType(T.DoubleType()))])
-
-
-def audio(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIO_SCHEMA).parquet(path)
