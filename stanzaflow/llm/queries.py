@@ -25,7 +25,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The group of versions of every record, and a verified link that puts it there."""
+    """The group of versions of every record."""
+    return _versions(spark, d)
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """The group of versions of every record, and the closest verified link that puts it there."""
     return _versions(spark, d, links=True)
 
 
@@ -69,6 +74,12 @@ def p4_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.withColumn("natural", F.col("odd_share") <= 0.5)
 
 
+def p4_text_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every record that need no rules, rounded."""
+    stats = quality.record_statistics(table(spark, d, "corpus_texts"), rule="0")
+    return stats.select("doc_id", "n_lines", "n_words", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "ended_share", "common_share", "distinct_lines")])
+
+
 def p4_token_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of the token lists: count, mean length, distinct share, share of stopwords."""
     return quality.token_statistics(table(spark, d, "ngram_corpus"), table(spark, d, "stopwords"))
@@ -91,8 +102,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 most similar of every query (ids divisible by 100) with relaxed pruning, against all vectors."""
-    near = vectors.nearest(table(spark, d, "text_features"), k=10, relax=0.6, queries="id % 100 = 0")
+    """The 10 most similar of every query (ids divisible by 100), against all vectors; exact pruning."""
+    near = vectors.nearest(table(spark, d, "text_features"), k=10, queries="id % 100 = 0")
     return near.select(F.col("id").alias("doc_id"), "neighbour", F.round("similarity", 9).alias("similarity"), "rank")
 
 
@@ -144,7 +155,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.source_rates(_severities(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_segments, p3_found, p3_term_counts, p3_cell_counts, p4_found, p4_stats, p4_token_stats, p5_found, p5_neighbours, p6_found, p6_passages, p7_found, p7_shares, p7_mix, p8_found, p8_scores, p8_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p1_links, p2_found, p2_segments, p3_found, p3_term_counts, p3_cell_counts, p4_found, p4_stats, p4_text_stats, p4_token_stats, p5_found, p5_neighbours, p6_found, p6_passages, p7_found, p7_shares, p7_mix, p8_found, p8_scores, p8_rates)}
 
 _P3 = """
 WITH docs AS (SELECT doc_id, any_value(tokens) AS tokens FROM ngram_corpus GROUP BY doc_id),
@@ -153,9 +164,55 @@ t AS (SELECT doc_id, unnest(tokens) AS term FROM docs),
 f AS (SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM t GROUP BY term),
 m AS (SELECT term, df, cf, CASE WHEN df < 5 THEN 'rare' WHEN df > CAST(0.3 AS DOUBLE) * (SELECT n FROM n) THEN 'common' END AS mark FROM f)
 """
+_P1 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []) AS w FROM corpus_texts WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM w),
+k AS (SELECT doc_id, len(s) AS k, s FROM s WHERE len(s) >= 30),
+u AS (SELECT doc_id, k, unnest(s) AS g FROM k),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.k) AS ka, any_value(b.k) AS kb, count(*) AS n FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c WHERE 2 * n >= ka + kb - n),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+"""
+_COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({w for ws in quality.FUNCTION_WORDS.values() for w in ws}))
+
+
+def _neighbours_sql(table: str, vec: str, k: int, asking: str = "true") -> str:
+    return f"""
+        v AS (SELECT doc_id, min(list_transform({vec}, lambda x: CAST(x AS DOUBLE))) AS v FROM {table} WHERE doc_id IS NOT NULL AND {vec} IS NOT NULL GROUP BY doc_id),
+        g AS (SELECT doc_id, v FROM v WHERE list_sum(list_transform(v, lambda x: x * x)) > 0 AND isfinite(list_sum(list_transform(v, lambda x: x * x)))),
+        u AS (SELECT doc_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM g),
+        p AS (SELECT a.doc_id AS id, b.doc_id AS nb, list_dot_product(a.u, b.u) AS sim FROM u a, u b WHERE a.doc_id <> b.doc_id AND {asking}),
+        top AS (SELECT id, nb, sim, row_number() OVER (PARTITION BY id ORDER BY round(sim, 12) DESC, nb) AS rank FROM p QUALIFY rank <= {k})"""
+
+
+def _pairs_sql(name: str, vec: str, least: float) -> str:
+    return f"(WITH {_neighbours_sql(name, vec, 5)} SELECT DISTINCT '{name}' AS feature_set, least(id, nb) AS doc_id_a, greatest(id, nb) AS doc_id_b FROM top WHERE sim >= {least})"
+
+
 _P7_TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\p{Z}]+'))"
 
 SQL: dict[str, str] = {
+    "p1_found": _P1 + "SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM r WHERE a < b",
+    "p1_groups": _P1 + """SELECT d.doc_id, least(d.doc_id, coalesce(m.m, d.doc_id)) AS group_id, CAST(len(d.s) AS INT) AS n_shingles
+        FROM s d LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) m ON m.a = d.doc_id""",
+    "p4_text_stats": rf"""
+        WITH l AS (SELECT doc_id, list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: regexp_matches(x, '[^\s\p{{Z}}]')) AS l FROM corpus_texts WHERE doc_id IS NOT NULL),
+        u AS (SELECT doc_id, unnest(l) AS x FROM l),
+        w AS (SELECT doc_id, x, regexp_extract_all(lower(x), '\p{{L}}+') AS w FROM u),
+        a AS (SELECT doc_id, count(*) AS n_lines, sum(len(w)) AS n_words, sum(length(array_to_string(w, ''))) AS letters, sum(len(regexp_extract_all(x, '[^\p{{L}}\p{{N}}\s\p{{Z}}]'))) AS symbols,
+          sum(length(replace(replace(replace(x, ' ', ''), chr(9), ''), chr(160), ''))) AS visible, avg(CAST(regexp_matches(x, '[.,;:!?…][''"»)]*\s*$') AS INT)) AS ended, sum(len(list_filter(w, lambda v: v IN ({_COMMON})))) AS common FROM w GROUP BY doc_id)
+        SELECT l.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, coalesce(CASE WHEN n_words > 0 THEN round(letters / n_words, 6) END, 0) AS mean_word_length,
+          coalesce(CASE WHEN visible > 0 THEN round(symbols / visible, 6) END, 0) AS symbol_ratio, coalesce(round(ended, 6), 0) AS ended_share, coalesce(CASE WHEN n_words > 0 THEN round(common / n_words, 6) END, 0) AS common_share,
+          coalesce(CASE WHEN len(l.l) > 0 THEN round(len(list_distinct(l.l)) / len(l.l), 6) END, 0) AS distinct_lines
+        FROM l LEFT JOIN a USING (doc_id)""",
+    "p5_found": " UNION ALL ".join(_pairs_sql(*x) for x in VECTORS),
+    "p5_neighbours": f"WITH {_neighbours_sql('text_features', 'features', 10, 'a.doc_id % 100 = 0')} SELECT id AS doc_id, nb AS neighbour, round(sim, 9) AS similarity, CAST(rank AS INT) AS rank FROM top",
+    "p6_found": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        i AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' '))) AS g FROM i),
+        h AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k + 7], ' '))) AS g FROM w)
+        SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (g)""",
     "p3_found": _P3 + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p3_term_counts": _P3 + "SELECT term, df, cf, mark FROM m",
     "p3_cell_counts": """
