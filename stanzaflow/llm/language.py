@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +61,20 @@ def label_language(label: Column) -> Column:
 
 def line_words(line: str) -> list[str]:
     """Words of a line that speak for a language; none for headers, chords, syllables and signs."""
+    words = _words(line)
+    return words if any(map(_speaks, words)) else []
+
+
+def _words(line: str) -> list[str]:
     parts = line.split()
-    if _HEADER.match(line) or (len(parts) > 1 and all(_CHORD.fullmatch(p) for p in parts)):
-        return []
-    words = _WORD.findall((_REMAINS.sub(" ", line) if _REMAINS_SIGN.search(line) else line).lower().replace("’", "'"))
-    if all(_NO_LANGUAGE.match(w.rstrip("'")) for w in words):
+    if not parts or _HEADER.match(line) or (len(parts) > 1 and parts[0][0] in "ABCDEFGH" and all(map(_CHORD.fullmatch, parts))):
         return []
-    return words
+    return _WORD.findall((_REMAINS.sub(" ", line) if _REMAINS_SIGN.search(line) else line).lower().replace("’", "'"))
+
+
+def _speaks(w: str) -> bool:
+    """Whether the word is neither a sung syllable nor a chord."""
+    return not _NO_LANGUAGE.match(w.rstrip("'"))
 
 
 def _grams(w: str) -> list[str]:
@@ -232,7 +238,7 @@ class _Numbers(dict):
     """A number for every word; its scores, and its length if it is known, stand at that place."""
 
     def __init__(self, model: WordScores):
-        self.model, self.known, self.scores = model, [], np.zeros((1024, len(model.states)), np.float32)
+        self.model, self.known, self.speaks, self.scores = model, [], [], np.zeros((1024, len(model.states)), np.float32)
 
     def __missing__(self, w: str) -> int:
         k = self[w] = len(self)
@@ -240,6 +246,7 @@ class _Numbers(dict):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         self.scores[k] = self.model.score(w)
         self.known.append(len(w) if self.model.familiar(w) else 0)
+        self.speaks.append(_speaks(w))
         return k
 
 
@@ -262,8 +269,10 @@ class _Lines:
         """The numbers of the words that speak for a language, and whether enough of the line is known."""
         got = self.lines.get(line)
         if got is None:
-            ws = line_words(line)
+            ws = _words(line)
             nos = list(map(self.numbers.__getitem__, ws))
+            if not any(map(self.numbers.speaks.__getitem__, nos)):
+                ws, nos = [], []
             seen, visible = sum(map(self.numbers.known.__getitem__, nos)), len(line) - line.count(" ")
             speaks = seen >= KNOWN_SHARE * visible
             # too few known words: a line of an unknown language if it is of words at all
@@ -278,6 +287,8 @@ def _labeller(model: WordScores):
 
     def rows_of(d: int, nos: list[int], lang: list[int], p: np.ndarray) -> list[tuple]:
         """Segments of known languages, and runs of lines in an unknown one beside them."""
+        if lang and lang[0] != und and lang.count(lang[0]) == len(lang):
+            return [(d, 1, nos[0], len(nos), names[lang[0]], float(p[:, lang[0]].mean()), 1)]
         known = [i for i, k in enumerate(lang) if k != und]
         segs = segments_of([(nos[i], lang[i]) for i in known])
         rows = []
@@ -322,18 +333,27 @@ def _labeller(model: WordScores):
                 part = docs[lo:hi]
                 lo = hi
                 t = part[-1][3]
+                # all lines of all texts in a row
+                words = seen.numbers.scores[[k for x in part for w in x[2] for k in w]]
+                length = np.array([len(w) for x in part for w in x[2]])
+                size, lines = np.array([x[3] for x in part]), np.array([len(x[2]) for x in part])
+                starts, begin = np.append(0, np.cumsum(length)[:-1]), np.append(0, np.cumsum(size)[:-1])
+                text = np.repeat(np.arange(len(part)), size)
+                place = np.arange(len(words)) - begin[text]
                 x, pen = np.zeros((len(part), t, len(names)), np.float32), np.full((len(part), t), SWITCH_WORD, np.float32)
-                for i, (_, _, parts, n, _) in enumerate(part):
-                    x[i, :n] = seen.numbers.scores[list(chain.from_iterable(parts))]
-                    pen[i, np.cumsum([0, *map(len, parts[:-1])])] = SWITCH_LINE
-                path = viterbi(x, pen)
-                for i, (d, nos, parts, n, sure) in enumerate(part):
-                    starts = np.cumsum([0, *map(len, parts[:-1])])
-                    votes = np.zeros((len(parts), len(names)), np.int64)
-                    np.add.at(votes, (np.repeat(np.arange(len(parts)), np.diff(np.append(starts, n))), path[i, :n]), 1)
-                    p = np.add.reduceat(x[i, :n], starts, axis=0)
-                    p = np.exp(p - p.max(axis=1, keepdims=True))
-                    rows += rows_of(d, nos, np.where(sure, votes.argmax(axis=1), und).tolist(), p / p.sum(axis=1, keepdims=True))
+                x[text, place] = words
+                pen[text[starts], place[starts]] = SWITCH_LINE
+                path = viterbi(x, pen)[text, place]
+                line = np.repeat(np.arange(len(length)), length)
+                votes = np.bincount(line * len(names) + path, minlength=len(length) * len(names)).reshape(-1, len(names))
+                lang = np.where(np.array([y for x in part for y in x[4]]), votes.argmax(axis=1), und).tolist()
+                p = np.add.reduceat(words, starts, axis=0)
+                p = np.exp(p - p.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                first = 0
+                for (d, nos, _, _, _), n in zip(part, lines.tolist()):
+                    rows += rows_of(d, nos, lang[first : first + n], p[first : first + n])
+                    first += n
             cols = list(zip(*rows)) or [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in OUT.split(", ")])
