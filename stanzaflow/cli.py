@@ -8,6 +8,7 @@ import os
 from stanzaflow.config import DEFAULT_FEATURES, FEATURE_SETS, CorpusConfig, ResourcePaths, TopicConfig
 from stanzaflow.plans.pipeline import extract
 from stanzaflow.session import local_session
+from stanzaflow.shared import discard_all
 from stanzaflow.sources.readers import line_text
 from stanzaflow.sources.writers import output_path, write_csv, write_parquet
 
@@ -54,6 +55,7 @@ def main(argv: list[str] | None = None) -> str:
     else:
         t = sets.get("topic")
         write_parquet(tables, out, t and t.topic_terms, t and t.vocab)
+    discard_all(spark)
     return out
 
 

@@ -19,8 +19,9 @@ from stanzaflow.shared import stage
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows; the count stops there."""
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (default: ``BROADCAST_ROWS``); the count stops there."""
+    most = BROADCAST_ROWS if most is None else most
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 

@@ -33,12 +33,17 @@ def _path(spark: SparkSession, where: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+#: Folders of this session that are still there.
+_kept: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
+    """A new path in the shared folder, removed by ``discard_all`` or when the session's JVM ends."""
     where = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex[:12]}"
     p, fs = _path(spark, where)
     fs.mkdirs(p)
     fs.deleteOnExit(p)  # takes only paths that exist
+    _kept.append(where)
     return f"{where}/{name}"
 
 
@@ -62,3 +67,15 @@ def discard(df: DataFrame | None) -> None:
     if where:
         p, fs = _path(df.sparkSession, where)
         fs.delete(p.getParent(), True)
+        folder = where.rsplit("/", 1)[0]
+        if folder in _kept:
+            _kept.remove(folder)
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Remove all tables staged so far; to be called once results are written, as they are read lazily. Gives their number."""
+    n = len(_kept)
+    while _kept:
+        p, fs = _path(spark, _kept.pop())
+        fs.delete(p, True)
+    return n

@@ -13,9 +13,10 @@ def test_query_equals_sql(spark, name):
     same(spark, catalogue.QUERIES[name], catalogue.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL) - {"english_topic_filter", "topic_features_25"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL) ))
 def test_query_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, DATA).count() > 0
+    df = catalogue.QUERIES[name](spark, DATA)
+    assert df.count() > 0 or name == "english_topic_filter"  # all topics of the smallest tables may be foreign
 
 
 def test_flagship(spark):

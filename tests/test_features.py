@@ -38,6 +38,20 @@ def test_linguistic_golden(spark):
     assert LinguisticFeature(stop, drop_nulls=True).extract(C.Corpus(t, t, None, None)).columns[0] == "num_unique_words"
 
 
+def test_linguistic_forms_agree(spark, monkeypatch):
+    """Words sent to all, only the most frequent ones sent, stopwords joined: the same rows; repeated ids keep theirs."""
+    rng = np.random.default_rng(2)
+    docs = [[f"w{min(rng.integers(0, 40), rng.integers(0, 40))}" for _ in range(rng.integers(0, 30))] for _ in range(40)]
+    t = toks(spark, *docs)
+    t = t.union(t.where("doc_id <= 2"))
+    stop = spark.createDataFrame([("w0",), ("w3",), ("w9",), (None,)], "term string")
+    rows = lambda **kw: sorted(map(tuple, lexical.linguistic_features(t, stop, **kw).collect()), key=repr)
+    want = rows()
+    assert len(want) == 42 and rows(sent=3) == want
+    monkeypatch.setattr(lexical, "LITERAL_WORDS", 1)
+    assert rows() == want and rows(sent=3) == want
+
+
 def test_linguistic_of_nothing(spark):
     stop = spark.createDataFrame([], "term string")
     assert lexical.linguistic_features(toks(spark).limit(0), stop).count() == 0
@@ -162,6 +176,41 @@ def test_english_filter(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(12))
 
 
+def test_english_filter_by_its_defaults(spark):
+    """20 topics, 30 steps, 15 of the 50 likeliest terms."""
+    rng = np.random.default_rng(1)
+    en, xx = [[f"{c}{a}{b}" for a in "bdfglmprst" for b in "aeiouyvz"] for c in ("en", "xx")]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(en if i < 80 else xx, 40))) for i in range(160)], "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in langfilter.filter_english(docs, spark.createDataFrame([(w,) for w in en], "term string")).collect()}
+    assert kept == set(range(80))
+
+
+def test_last_row_of_a_repeated_id_stays(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "doc_id bigint, x double")
+    b = spark.createDataFrame([(1, 4.0, 9), (2, 5.0, 1), (1, 6.0, 3), (2, None, 2)], "doc_id bigint, x double, at int").coalesce(1)
+    last = lambda **kw: [tuple(r) for r in assemble.align({"a": a, "b": b}, **kw).select("doc_id", "b_x").orderBy("doc_id").collect()]
+    assert last() == [(1, 6.0), (2, None)] and last(order="at") == [(1, 4.0), (2, None)]
+
+
+def test_row_ranges(spark):
+    c = spark.createDataFrame([(k, k % 3) for k in range(0, 500, 7)], "k bigint, n bigint")
+    got = [tuple(r) for r in assemble.row_ranges(c, "k", "n", per_block=16).orderBy("k").collect()]
+    at, want = 0, []
+    for k in range(0, 500, 7):
+        want.append((k, at, at + k % 3))
+        at += k % 3
+    assert got == want
+
+
+def test_joins_without_broadcast_agree(spark, monkeypatch):
+    t = toks(spark, ["the", "cats", "run"], ["cats"], [])
+    lem, stop = spark.createDataFrame([("cats", "cat")], "term string, lemma string"), spark.createDataFrame([("the",)], "term string")
+    rows = lambda: (sorted(map(str, C.lemmatize(t, lem).collect())), sorted(map(str, C.drop_stopwords(t, stop).collect())))
+    want = rows()
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
+    assert rows() == want
+
+
 def test_align(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "doc_id bigint, x double")
     b = spark.createDataFrame([(2, 5.0), (1, 4.0), (3, 9.0)], "doc_id bigint, x double")
@@ -202,5 +251,9 @@ def test_column_norms(spark):
     df = spark.createDataFrame([(1, [3.0, 0.0]), (2, [4.0, 0.0])], "id bigint, v array<double>")
     assert {r["id"]: r["u"] for r in assemble.normalize_columns(df, "id", "v", 2).collect()} == {1: [0.6, 0.0], 2: [0.8, 0.0]}
     assert assemble.normalize_columns(df, "id", "v", 2, order=1).where("id = 1").first()["u"] == [3 / 7, 0.0]
+    for order, n in ((0, 2.0), (3, 91 ** (1 / 3)), (float("inf"), 4.0), (float("-inf"), 3.0)):
+        assert abs(assemble.normalize_columns(df, "id", "v", 2, order=order).where("id = 1").first()["u"][0] - 3 / n) < 1e-12
+    with pytest.raises(ValueError):
+        assemble.normalize_columns(df, "id", "v", 2, order=-1)
     assert assemble.spread(df, "v", ["a", "b"]).columns == ["id", "a", "b"]
     assert F.lit(1) is not None

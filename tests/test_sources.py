@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
 
-from stanzaflow import cli
+from stanzaflow import cli, shared
+from stanzaflow.operators import assemble
 from stanzaflow.operators import corpus as C
 from stanzaflow.sources import readers, writers
 from stanzaflow.streaming import score
@@ -42,6 +44,34 @@ def test_word_lists_maps_and_embeddings(spark, tmp_path):
     assert sorted(r[0] for r in readers.word_list(spark, str(tmp_path / "w.txt")).collect()) == ["a", "b"]
 
 
+def test_id_map_in_file_order(spark, tmp_path):
+    """Many files of uneven size: the last line of the last file wins."""
+    (tmp_path / "a.csv").write_text("".join(f"k{i},a{i}\n" for i in range(400)))
+    (tmp_path / "b.csv").write_text("k7,b7\n")
+    (tmp_path / "c.csv").write_text("".join(f"k{i},c{i}\n" for i in range(5, 60)) + "k7,\n")
+    m = {r["mxm"]: r["msd"] for r in assemble.id_map(readers.id_map_csv(spark, str(tmp_path))).collect()}
+    assert m["k7"] is None and m["k5"] == "c5" and m["k100"] == "a100" and len(m) == 400
+
+
+def test_lemma_list(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("Cats,cat\nmice\tmouse\nodd line\n,x\n")
+    assert sorted(map(tuple, readers.lemma_table(spark, str(tmp_path / "l.txt")).collect())) == [("cats", "cat"), ("mice", "mouse")]
+
+
+def test_only_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    spark.range(200_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    plan = lambda: readers.table(spark, str(tmp_path / "t"))._jdf.queryExecution().toString()
+    assert "Repartition" in plan()
+    monkeypatch.setattr(readers, "DEAL_MOST", 1000)
+    assert "Repartition" not in plan()
+
+
+def test_staged_tables_are_discarded(spark, tmp_path):
+    shared.discard_all(spark)
+    a = shared.stage(spark.range(3), "a")
+    assert a.count() == 3 and shared.discard_all(spark) == 1 and not os.path.exists(a._stanzaflow_stage.removeprefix("file:"))
+
+
 def test_csv_and_parquet(spark, tmp_path):
     a = spark.createDataFrame([(2, 0.5), (1, None)], "doc_id bigint, x double")
     writers.write_csv({"s": a}, str(tmp_path / "c"), include_id=False, single_file=True)
