@@ -9,7 +9,8 @@ more than half of its non-blank lines are list entries, table rows or junk.
 from __future__ import annotations
 
 import random
-from functools import lru_cache
+import re
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ LINE_STATS = {
     "varied": "distinct words per word, of ten words at most", "signs": "distinct letters, of four at most", "longest": "longest run of visible signs, 18 at least", "broken": "markup or damaged encoding", "keyed": "a key, then a colon, dash, arrow or equals sign",
     "commas": "commas per word", "clock": "a time of day or a duration", "links": "a web address", "sung": "a section header, chords or sung syllables", "doc_varied": "distinct lines per line of the record, a half at most",
 }
+#: Statistics that most rules test and that cost little: worked out for every line. Others are only where a rule gets to them.
+EAGER = ("words", "common", "letters", "digits", "varied", "commas")
 #: What rules are induced over; ``sung`` stands in an exception ahead of them.
 RULE_NAMES = tuple(k for k in LINE_STATS if k != "sung")
 #: Lines that no rule may take: the first conditions of the CASE.
@@ -77,7 +80,7 @@ def line_stats(line: str = "line") -> list[Column]:
     where = lambda need, value, other=0.0: F.when(need, value).otherwise(F.lit(other))
     holds = lambda *parts: F.greatest(*[x.contains(p) for p in parts]) if len(parts) > 1 else x.contains(parts[0])
     parts = F.split(t, r"\s+")
-    chords = (F.size(parts) > 1) & F.forall(parts, lambda v: v.rlike(f"^{CHORD}$"))
+    chords = t.rlike(rf"^{CHORD}\s") & F.forall(parts, lambda v: v.rlike(f"^{CHORD}$"))
     # a held vowel is sung, a row of one letter is not
     syllables = (n > 0) & F.forall(w, lambda v: v.rlike(f"^{SYLLABLE}$") & ~v.rlike(r"(\p{L})\1{4}"))
     inner = _number(x, ";") - (F.length(x) - F.length(_drop(x, "; "))) / 2 - x.endswith(";").cast("double")
@@ -99,7 +102,7 @@ def line_stats(line: str = "line") -> list[Column]:
         (_number(x, ",") / some).alias("commas"),
         where(holds(":"), flag(r"\b\d{1,2}:\d{2}\b")).alias("clock"),
         where(holds("://", "www."), flag(r"\b\w{1,20}://|www\.")).alias("links"),
-        (x.rlike(HEADER) | chords | syllables).cast("double").alias("sung"),
+        ((x.contains("[") & x.rlike(HEADER)) | chords | syllables).cast("double").alias("sung"),
     ]
 
 
@@ -295,6 +298,35 @@ def case_expression(rules: list[Rule], names: tuple[str, ...] = RULE_NAMES, exce
     return "CASE " + " ".join(whens) + " ELSE 0 END" if whens else "0"
 
 
+_WHEN = re.compile(r"WHEN (.*?) THEN ([01])(?= WHEN | ELSE )")
+_TEST = re.compile(r"`(\w+)` (<=|>) (\S+)D")
+
+
+def case_column(rule: str, stats: dict[str, Column]) -> Column:
+    """A CASE as ``case_expression`` writes it, over given columns.
+
+    Exceptions that stand first are tested last, on lines that a rule has taken: the result is the
+    same, and few lines get there. Raises ``ValueError`` for SQL of another form.
+    """
+    whens = [(w, int(v)) for w, v in _WHEN.findall(rule)]
+    tests = [[_TEST.fullmatch(c) for c in w.split(" AND ")] for w, _ in whens]
+    if case_expression([], exceptions=()) != rule and ("CASE " + " ".join(f"WHEN {w} THEN {v}" for w, v in whens) + " ELSE 0 END" != rule or not all(all(t) for t in tests)):
+        raise ValueError("not a list of rules")
+    holds = [reduce(lambda a, b: a & b, [stats[t[1]] <= float(t[3]) if t[2] == "<=" else stats[t[1]] > float(t[3]) for t in ts]) for ts in tests]
+    first = next((i for i, (_, v) in enumerate(whens) if v), len(whens))
+    if any(not v for _, v in whens[first:]):
+        raise ValueError("not a list of rules")
+    if first == len(whens):
+        return F.lit(0)
+    taken = F.when(holds[first], True)
+    for h in holds[first + 1 :]:
+        taken = taken.when(h, True)
+    out = taken.otherwise(False)
+    for h in holds[:first]:
+        out = out & ~h
+    return out.cast("int")
+
+
 def _with_words(df: DataFrame) -> DataFrame:
     """Adds ``w`` and ``letters_n`` of ``line``."""
     return df.withColumn("w", F.regexp_extract_all(F.lower("line"), F.lit(r"\p{L}+"), F.lit(0))).withColumn("letters_n", F.length(F.array_join("w", "")))
@@ -355,12 +387,19 @@ def record_statistics(df: DataFrame, doc: str = "doc_id", text: str = "text", ru
     documents; default: ``default_case``).
     """
     rule = rule or default_case(df.sparkSession)
-    lines = exploded_lines(df, doc, text).select("d", "line", "letters_n", *line_stats(), "distinct_lines", "doc_varied")
+    stats = dict(zip(LINE_STATS, line_stats()))
+    try:
+        later = {k: v for k, v in stats.items() if k not in EAGER}
+        odd = case_column(rule, {**{k: F.col(k) for k in (*EAGER, "doc_varied")}, **later})
+        now = [stats[k] for k in EAGER]
+    except ValueError:  # a rule in other SQL
+        odd, now = F.expr(rule), list(stats.values())
+    lines = exploded_lines(df, doc, text).select("d", "line", "w", "letters_n", *now, "distinct_lines", "doc_varied")
     n = F.col("words")
     per = lines.groupBy("d").agg(
         F.count("*").alias("n_lines"), F.sum(n).cast("bigint").alias("n_words"), F.sum("letters_n").alias("_letters"), F.sum(F.regexp_count("line", F.lit(r"[^\p{L}\p{N}\s\p{Z}]"))).alias("_symbols"),
         F.sum(F.length(_drop(F.col("line"), " ", "\t", "\u00a0"))).alias("_visible"), F.avg(F.col("line").rlike(r"[.,;:!?…]['\"»)]*\s*$").cast("double")).alias("ended_share"), F.sum(F.col("common") * n).alias("_common"),
-        F.max("distinct_lines").alias("distinct_lines"), F.avg(F.expr(rule).cast("double")).alias("odd_share"),
+        F.max("distinct_lines").alias("distinct_lines"), F.avg(odd.cast("double")).alias("odd_share"),
     )
     every = df.select(F.col(doc).cast("bigint").alias("d")).where("d is not null").distinct()
     zero = lambda c, a: F.coalesce(c, F.lit(0)).cast(a)

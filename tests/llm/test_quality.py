@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stanzaflow.llm import quality as Q
 
@@ -61,6 +62,18 @@ def test_rules_in_plain_python():
     assert Q.case_expression([], exceptions=()) == "0" and Q.irep(x[:0], y[:0], y[:0]) == []
 
 
+def test_case_column_equals_its_sql(spark, rule):
+    rows = Q.labelled_lines(seed=77, docs=60)
+    df = spark.createDataFrame([(d, "\n".join(t for e, t, _ in rows if e == d)) for d in range(60)] + [(99, VERSE + "\nAm  G C\nla la la\n[Chorus]\nA x")], SCHEMA)
+    lines = Q.exploded_lines(df, "doc_id", "text").select("*", *Q.line_stats())
+    got = lines.select(F.expr(rule).alias("sql"), Q.case_column(rule, {k: F.col(k) for k in Q.LINE_STATS}).alias("mine")).groupBy("sql", "mine").count().collect()
+    assert {(r["sql"], r["mine"]) for r in got} == {(0, 0), (1, 1)}
+    for other in ("CASE WHEN words > 3 THEN 1 ELSE 0 END", "1", "CASE WHEN `words` > 3.0D THEN 1 WHEN `words` > 1.0D THEN 0 ELSE 0 END"):
+        with pytest.raises(ValueError):
+            Q.case_column(other, {k: F.col(k) for k in Q.LINE_STATS})
+        assert Q.record_statistics(df, rule=other).where("odd_share > 0").count() > 0
+
+
 def test_rules_follow_the_given_labels(spark):
     """Texts that no generator made: once shouting is unnatural, once questions are."""
     r = np.random.default_rng(4)
