@@ -222,10 +222,9 @@ def _covers(rule: Rule, x: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray]) -> Rule:
-    """Add the condition of the most FOIL gain until no negative is covered."""
+def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], orders: list[np.ndarray], ok: np.ndarray) -> Rule:
+    """Add the condition of the most FOIL gain until no negative is covered, among the rows marked ``ok``; ``orders`` sorts each statistic."""
     rule: Rule = []
-    ok = np.ones(len(x), bool)
     while len(rule) < 10:
         p, n = y[ok].sum(), (1 - y[ok]).sum()
         if n == 0 or p == 0:
@@ -234,9 +233,8 @@ def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray]) -> Rule:
         for f, cs in enumerate(cuts):
             if not len(cs):
                 continue
-            v, lab = x[ok, f], y[ok]
-            o = np.argsort(v, kind="stable")
-            vs, pos = v[o], np.cumsum(np.append(0, lab[o]))
+            o = orders[f][ok[orders[f]]]
+            vs, pos = x[o, f], np.cumsum(np.append(0, y[o]))
             at = np.searchsorted(vs, cs, side="right")
             for op, pc, all_ in (("<=", pos[at], at), (">", p - pos[at], len(vs) - at)):
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -247,7 +245,7 @@ def _grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray]) -> Rule:
         if best[1] is None:
             break
         rule.append(best[1])
-        ok &= _covers([best[1]], x)
+        ok = ok & _covers([best[1]], x)
     return rule
 
 
@@ -268,7 +266,7 @@ def irep(x: np.ndarray, y: np.ndarray, group: np.ndarray, seed: int = 1, most: i
     Ends when a pruned rule's worth on the pruning set is below ``worth`` or it covers under 5 lines there.
     """
     rng, left, rules, misses = np.random.default_rng(seed), np.ones(len(x), bool), [], 0
-    cuts = []
+    cuts, orders = [], [np.argsort(x[:, f], kind="stable") for f in range(x.shape[1])]
     for f in range(x.shape[1]):
         v = np.unique(x[:, f])
         mids = (v[1:] + v[:-1]) / 2
@@ -279,7 +277,7 @@ def irep(x: np.ndarray, y: np.ndarray, group: np.ndarray, seed: int = 1, most: i
         g, p = left & growing, left & ~growing
         # after a miss another half of the statistics is tried, or greed would end in the same rule
         some = set(rng.permutation(len(cuts))[: len(cuts) // 2 + 1]) if misses else set(range(len(cuts)))
-        rule = _grow(x[g], y[g], [c if f in some else c[:0] for f, c in enumerate(cuts)])
+        rule = _grow(x, y, [c if f in some else c[:0] for f, c in enumerate(cuts)], orders, g)
         rule, value = _prune(rule, x[p], y[p]) if rule else (rule, -1)
         covered = _covers(rule, x) if rule else np.zeros(len(x), bool)
         if value < worth or (covered & p & (y == 1)).sum() < 5:
