@@ -79,9 +79,15 @@ def shingle_sets(texts: list[str | None], n: int, known: _WordHashes) -> list[np
     return out
 
 
-def _print(x: np.ndarray) -> int:
-    """One number for a set, whatever the order."""
-    return int(_mixed(_mixed(x).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(x))).view(np.int64)[0])
+def _prints(sets: list[np.ndarray]) -> np.ndarray:
+    """One number for each set, whatever the order; empty sets have 0."""
+    out = np.zeros(len(sets), np.int64)
+    size = np.array([len(x) for x in sets], np.uint64)
+    has = np.flatnonzero(size)
+    if len(has):
+        at = np.append(0, np.cumsum(size[has])[:-1]).astype(np.int64)
+        out[has] = _mixed(np.add.reduceat(_mixed(np.concatenate([sets[i] for i in has])), at) + size[has]).view(np.int64)
+    return out
 
 
 def _signer(n: int, least: int, rows: int, bands: int, seed: int):
@@ -104,7 +110,7 @@ def _signer(n: int, least: int, rows: int, bands: int, seed: int):
             for lo in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(lo, TEXTS)
                 sets = shingle_sets(batch.column(1).to_pylist(), n, known)
-                prints = [_print(x) if len(x) >= least else None for x in sets]
+                prints = [p if len(x) >= least else None for p, x in zip(_prints(sets).tolist(), sets)]
                 low, fresh = [], []
                 for i, p in enumerate(prints):
                     # of the copies that a task sees only the first is signed
@@ -132,8 +138,9 @@ def _setter(n: int):
         for whole in batches:
             for lo in range(0, whole.num_rows, TEXTS):
                 batch, fps, out = whole.slice(lo, TEXTS), [], []
-                for p, x in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), n, known)):
-                    if p not in seen and len(x) and _print(x) == p:
+                sets = shingle_sets(batch.column(1).to_pylist(), n, known)
+                for p, x, own in zip(batch.column(0).to_pylist(), sets, _prints(sets).tolist()):
+                    if p not in seen and len(x) and own == p:
                         seen.add(p), fps.append(p), out.append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(out, pa.binary())], names=["fp", "sh"])
 
@@ -267,6 +274,8 @@ def groups(df: DataFrame, doc: str = "doc_id", text: str = "text", n: int = 5, t
         s = sigs.select("fp", "sig")
         near = cand.join(s.select(F.col("fp").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("fp").alias("b"), F.col("sig").alias("sb")), "b")
         near = stage(near.where(_agreement("sa", "sb") >= threshold - slack).select("a", "b").where("a <> b"), "near")
+        if near.isEmpty():
+            return near.withColumn("sim", F.lit(0.0))
         nodes = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp")
         again = src.join(nodes, "d").select("fp", "t").mapInArrow(_setter(n), "fp bigint, sh binary")
         again = stage(again.dropDuplicates(["fp"]), "sets")
