@@ -18,7 +18,7 @@ from stanzaflow.operators.corpus import small, term_counts
 from stanzaflow.shared import stage
 
 #: Word vectors up to this many numbers are sent to every executor, more are joined by shuffle.
-BROADCAST_NUMBERS = 20_000_000
+BROADCAST_NUMBERS = 8_000_000
 
 
 def unit_words(embeddings: DataFrame, word: str = "word", vec: str = "v") -> DataFrame:

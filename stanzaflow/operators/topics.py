@@ -24,6 +24,8 @@ EPS = 1e-10
 FLOOR = 1e-14
 #: Terms times topics that are sent to every executor at most; beyond, steps run as joins.
 MOST_CELLS = 10_000_000
+#: Terms whose names and numbers are held on the driver at most; beyond, as well.
+MOST_TERMS = 1_000_000
 
 
 def hashed_unit(key: Column, z: Column | int, seed: int) -> Column:
@@ -145,7 +147,7 @@ def fit(bow: DataFrame, docs: DataFrame, vocab: DataFrame, k: int = 25, n_iters:
     spark = bow.sparkSession
     theta, beta = init_theta(docs, k, seed), init_beta(vocab, k, seed)
     n_terms = vocab.count()
-    if n_terms * k > MOST_CELLS:
+    if n_terms * k > MOST_CELLS or n_terms > MOST_TERMS:
         bow = stage(bow, "bow")
         for _ in range(n_iters):
             t, b = em_step(bow, theta, beta, k)
@@ -174,8 +176,9 @@ def fit(bow: DataFrame, docs: DataFrame, vocab: DataFrame, k: int = 25, n_iters:
 
 def fold_in(bow: DataFrame, docs: DataFrame, beta: DataFrame, k: int, n_iters: int = 30, seed: int = 0) -> DataFrame:
     """``doc_id, th`` of new documents with ``beta`` held: documents don't meet, so all steps run in one pass."""
-    terms = beta.select("term").orderBy("term").limit(MOST_CELLS // k + 1).collect()
-    if len(terms) * k > MOST_CELLS:
+    most = min(MOST_CELLS // k, MOST_TERMS)
+    terms = beta.select("term").orderBy("term").limit(most + 1).collect()
+    if len(terms) > most:
         bow, theta = stage(bow, "bow"), init_theta(docs, k, seed)
         for _ in range(n_iters):
             theta = stage(em_step(bow, theta, beta, k)[0], "theta")
