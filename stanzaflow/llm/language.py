@@ -40,6 +40,8 @@ SCRIPTS = {"el": ("Ͱ-Ͽ", ""), "ru": ("Ѐ-ӿ", "Ѐ-Џѐ-ҁҊ-ӿ"), "he": ("֐-
 #: Other spellings of the labels.
 LABELS = {"eng": "en", "english": "en", "spa": "es", "spanish": "es", "fra": "fr", "fre": "fr", "french": "fr", "deu": "de", "ger": "de", "german": "de", "por": "pt", "portuguese": "pt", "ita": "it", "italian": "it"}
 _WORD = re.compile(r"(?<!\w)[^\W\d_]++(?:['’](?=[^\W\d_]))?(?![\d_])")
+#: The same where no digit or underscore stands, found faster.
+_PLAIN_WORD, _DIGIT = re.compile(r"[^\W\d_]+(?:'(?=[^\W\d_]))?"), re.compile(r"[\d_]")
 #: Addresses, markup and damaged encoding inside a line.
 _REMAINS = re.compile(r"\b\w{1,20}://\S+|</?\w[^<>]*>|&#?\w+;|\{[^{}]*\}|Ã.|â€.?|ï¿½|Â(?=\s|$)|\ufffd")
 #: What any of them holds, found faster.
@@ -69,7 +71,8 @@ def _words(line: str) -> list[str]:
     parts = line.split()
     if not parts or _HEADER.match(line) or (len(parts) > 1 and parts[0][0] in "ABCDEFGH" and all(map(_CHORD.fullmatch, parts))):
         return []
-    return _WORD.findall((_REMAINS.sub(" ", line) if _REMAINS_SIGN.search(line) else line).lower().replace("’", "'"))
+    t = (_REMAINS.sub(" ", line) if _REMAINS_SIGN.search(line) else line).lower().replace("’", "'")
+    return (_WORD if _DIGIT.search(t) else _PLAIN_WORD).findall(t)
 
 
 def _speaks(w: str) -> bool:

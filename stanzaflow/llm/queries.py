@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stanzaflow.llm import abuse, language, leaks, mixing, neardup, quality, terms, vectors
+from stanzaflow.operators.corpus import small
+from stanzaflow.shared import stage
 from stanzaflow.sources import readers
 
 
@@ -37,9 +39,11 @@ def p1_links(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Segments of records that are mixed or whose label is missing or wrong."""
     corpus = table(spark, d, "corpus_texts")
-    segs = language.mislabelled(language.segments(corpus))
-    odd = quality.unnatural(quality.record_statistics(corpus)).select("doc_id")
-    return segs.join(odd, "doc_id", "left_anti").select("doc_id", "first_line", "lang").distinct()
+    segs = stage(language.mislabelled(language.segments(corpus)).select("doc_id", "first_line", "lang"), "segments")
+    # only records with such segments can matter
+    asked = corpus.join(small(segs.select("doc_id").distinct()), "doc_id", "left_semi")
+    odd = quality.unnatural(quality.record_statistics(asked)).select("doc_id")
+    return segs.join(odd, "doc_id", "left_anti").distinct()
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
