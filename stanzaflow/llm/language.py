@@ -338,21 +338,25 @@ def _labeller(model: WordScores):
                 t = part[-1][3]
                 # all lines of all texts in a row
                 words = seen.numbers.scores[[k for x in part for w in x[2] for k in w]]
+                # states that no word of these texts speaks for, mostly scripts, can't be on a best path
+                act = np.flatnonzero((words > -CLIP).any(axis=0))
+                words = words[:, act]
                 length = np.array([len(w) for x in part for w in x[2]])
                 size, lines = np.array([x[3] for x in part]), np.array([len(x[2]) for x in part])
                 starts, begin = np.append(0, np.cumsum(length)[:-1]), np.append(0, np.cumsum(size)[:-1])
                 text = np.repeat(np.arange(len(part)), size)
                 place = np.arange(len(words)) - begin[text]
-                x, pen = np.zeros((len(part), t, len(names)), np.float32), np.full((len(part), t), SWITCH_WORD, np.float32)
+                x, pen = np.zeros((len(part), t, len(act)), np.float32), np.full((len(part), t), SWITCH_WORD, np.float32)
                 x[text, place] = words
                 pen[text[starts], place[starts]] = SWITCH_LINE
-                path = viterbi(x, pen)[text, place]
+                path = act[viterbi(x, pen)[text, place]]
                 line = np.repeat(np.arange(len(length)), length)
                 votes = np.bincount(line * len(names) + path, minlength=len(length) * len(names)).reshape(-1, len(names))
                 lang = np.where(np.array([y for x in part for y in x[4]]), votes.argmax(axis=1), und).tolist()
-                p = np.add.reduceat(words, starts, axis=0)
-                p = np.exp(p - p.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
+                sums = np.add.reduceat(words, starts, axis=0)
+                sums = np.exp(sums - sums.max(axis=1, keepdims=True))
+                p = np.zeros((len(length), len(names)), np.float32)
+                p[:, act] = sums / sums.sum(axis=1, keepdims=True)
                 first = 0
                 for (d, nos, _, _, _), n in zip(part, lines.tolist()):
                     rows += rows_of(d, nos, lang[first : first + n], p[first : first + n])
