@@ -518,8 +518,8 @@ def english_topic_filter(spark, d):
     return langfilter.filter_english(docs, _english(spark, d), table(spark, d, "stopwords")).select("doc_id")
 
 
-#: Topics of which this many of the 50 likeliest terms are foreign are dropped in the step below; at 15 all three topics of these tables are.
-FOREIGN = 45
+#: Topics of which this many of the 50 likeliest terms are foreign are dropped in the step below; at 15 all three topics of these tables are, and nothing is left.
+FOREIGN = 28
 _FOREIGN = f"WITH {_BOW}, {_em_sql(3, 1)}, {_ENG}, x AS (SELECT term, unnest(be) AS p, generate_subscripts(be, 1) - 1 AS topic FROM be1), r AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY round(p, 12) DESC, term) AS rank, term FROM x), bad AS (SELECT topic, count(*) AS n FROM r ANTI JOIN eng USING (term) WHERE rank <= 50 GROUP BY topic)"
 
 
