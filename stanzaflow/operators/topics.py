@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,17 +178,15 @@ def fit(bow: DataFrame, docs: DataFrame, vocab: DataFrame, k: int = 25, n_iters:
 def fold_in(bow: DataFrame, docs: DataFrame, beta: DataFrame, k: int, n_iters: int = 30, seed: int = 0) -> DataFrame:
     """``doc_id, th`` of new documents with ``beta`` held: documents don't meet, so all steps run in one pass."""
     most = min(MOST_CELLS // k, MOST_TERMS)
-    terms = beta.select("term").orderBy("term").limit(most + 1).collect()
-    if len(terms) > most:
+    got = beta.select("term", "be").orderBy("term").limit(most + 1).toArrow()
+    if len(got) > most:
         bow, theta = stage(bow, "bow"), init_theta(docs, k, seed)
         for _ in range(n_iters):
             theta = stage(em_step(bow, theta, beta, k)[0], "theta")
         return theta
-    number = {r["term"]: i for i, r in enumerate(terms)}
-    table = np.zeros((len(number), k))
-    for r in beta.toLocalIterator():
-        table[number[r["term"]]] = r["be"]
-    vocab = bow.sparkSession.createDataFrame([(t, i) for t, i in number.items()], "term string, term_id bigint")
+    table = got.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k) if len(got) else np.zeros((0, k))
+    names = pd.DataFrame({"term": got.column(0).to_pylist(), "term_id": np.arange(len(got))})
+    vocab = bow.sparkSession.createDataFrame(names, "term string, term_id bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
