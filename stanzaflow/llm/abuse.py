@@ -211,8 +211,11 @@ def _subset(pick: np.ndarray, feats: np.ndarray, at: np.ndarray, size: np.ndarra
     return feats[idx], np.append(0, np.cumsum(n)[:-1]).astype(np.int64), n
 
 
-def train(texts: list[str], grades: np.ndarray, share: float = 1.0) -> Ordinal:
-    """Fits the model to graded documents (grades 0 to 3); ``share`` is the kept part of those of grade 0."""
+def train(texts: list[str], grades: np.ndarray, share: float = 1.0, share_bad: float = 1.0) -> Ordinal:
+    """Fits the model to graded documents (grades 0 to 3); ``share`` is the kept part of those of grade 0, ``share_bad`` of the others.
+
+    Both parts count as often as they are in the whole, so the model doesn't depend on how many of each are kept.
+    """
     model, hasher = Ordinal(), Hasher()
     if not len(grades) or not grades.any() or grades.all():
         model.theta = np.array([9.0, 10.0, 11.0])
@@ -239,7 +242,9 @@ def train(texts: list[str], grades: np.ndarray, share: float = 1.0) -> Ordinal:
     model.w = np.log((up + 0.5) / (p + 1)) - np.log((down + 0.5) / (n + 1))
     model.common = up + down >= LEAST_DOCS
     # only what stands mostly in documents of high grade may raise a grade
-    model.raising = (up >= 2) & (up >= LEAST_SHARE * (up + down / share))
+    mild = np.bincount(f[(grades == 1)[doc]], minlength=1 << BITS)
+    most, least = (up + mild) / share_bad, (down - mild) / share
+    model.raising = (up >= 2) & (up / share_bad >= LEAST_SHARE * (most + least))
     model.w = np.where(model.common, np.where(model.raising, model.w, np.minimum(model.w, 0)), 0)
     start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     docs, weight = owner[start], np.ones(len(grades))
@@ -251,7 +256,7 @@ def train(texts: list[str], grades: np.ndarray, share: float = 1.0) -> Ordinal:
         pick = order[(rank == 0) | ((grades[owner[order]] == 0) & ((rank < 4) | (rank % 4 == r % 4)))]
         y = grades[owner[pick]].astype(int)
         wt = weight[owner[pick]].copy()
-        wt[y == 0] /= 3 * share
+        wt[y == 0] *= share_bad / (3 * share)
         model.fit(*_subset(pick, feats, at, size), y, wt)
         worst = np.maximum.reduceat(model.scores(feats, at, size), start)
         if r >= 1:
@@ -275,13 +280,13 @@ def graded(docs: DataFrame, ratings: DataFrame, doc: str = "doc_id", text: str =
 def fit(docs: DataFrame, ratings: DataFrame, most: int = RATED_DOCS, seed: int = 5) -> Ordinal:
     """Fits on at most ``most`` rated documents with and ``most`` without an objection, by a seeded hash of their id."""
     every = stage(graded(docs, ratings), "graded")
-    harmless = every.where("grade = 0").count()
+    bad, harmless = every.agg(F.count_if(F.col("grade") > 0), F.count_if(F.col("grade") == 0)).first()
     texts, grades = [], []
     for part in ("grade > 0", "grade = 0"):
         for r in every.where(part).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").limit(most).toLocalIterator():
             texts.append(r["text"]), grades.append(r["grade"])
     g = np.array(grades, dtype=np.int64)
-    return train(texts, g, (g == 0).sum() / max(1, harmless))
+    return train(texts, g, (g == 0).sum() / max(1, harmless), (g > 0).sum() / max(1, bad))
 
 
 def severities(docs: DataFrame, model: Ordinal, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

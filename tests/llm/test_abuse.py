@@ -70,6 +70,17 @@ def test_scores_rates_and_dirt(spark):
     assert set(rates) == {"a_b", None, "x"} and rates["x"]["rate"] == 0 and 0.1 < rates["a_b"]["rate"] < 0.4
 
 
+def test_fit_on_a_part_finds_as_much(spark):
+    r, rows, test = random.Random(2), corpus(40000), corpus(400, 9)
+    df = spark.createDataFrame([(d, t, "s") for d, t, _ in rows], "doc_id bigint, text string, source string")
+    rated = [(d, f"r{k}", v, k) for d, _, bad in rows for v in [int(bad != (r.random() < 0.08))] for k in range(2)]
+    rt = spark.createDataFrame(rated, "doc_id bigint, rater_id string, toxic int, rated_at int")
+    held = spark.createDataFrame([(d, t, "s") for d, t, _ in test], df.schema)
+    got = {x["doc_id"]: x["severity"] >= A.CUT for x in A.severities(held, A.fit(df, rt, most=200)).collect()}
+    assert sum(got[d] for d, _, bad in test if bad) >= 0.95 * sum(bad for _, _, bad in test)
+    assert sum(got[d] for d, _, bad in test if not bad) <= 5
+
+
 def test_without_ratings(spark):
     df = spark.createDataFrame([(1, BAD[0], "s")], "doc_id bigint, text string, source string")
     none = spark.createDataFrame([], "doc_id bigint, rater_id string, toxic int, rated_at int")
